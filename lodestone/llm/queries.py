@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, sharding
-from .common import table
+from . import neardup, pieces, sharding, toxicity
+from .common import fold, table
 
 N_SHARDS = 16
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id") != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=(80, 100))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
@@ -31,7 +41,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_toxicity": op2_toxicity, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
