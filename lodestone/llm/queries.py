@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, pieces, sharding, toxicity
+from . import neardup, pieces, privacy, sharding, toxicity
 from .common import fold, table
 
 N_SHARDS = 16
@@ -40,8 +40,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = privacy.spans(table(spark, sf_dir, "documents"))
+    found = F.col("found")
+    return marked.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *(F.size(found[k]).cast("long").alias(f"n_{k}") for k in privacy.KINDS),
+        F.sha2(privacy.listing(privacy.base_places(found)).cast("binary"), 256).alias("base_sha256"),
+        privacy.listing(privacy.all_places(found, F.col("terms"))).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_toxicity": op2_toxicity, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy}
 
 
 def oracle_sql() -> dict[str, str]:
