@@ -281,3 +281,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     mine = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     # rows of one id are one document: the smallest component that any of them reaches
     return mine.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is kept, with all their columns."""
+    gone = near_duplicates(docs, id_column=id_column, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col(id_column) == F.col("gone"), "left_anti")

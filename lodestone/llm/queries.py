@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, pieces, privacy, sharding, toxicity
+from . import mixing, neardup, pieces, privacy, sharding, toxicity
 from .common import fold, table
 
 N_SHARDS = 16
@@ -51,8 +51,13 @@ def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "weight", "block", "phase", "release", "deadline", "slot", "position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy}
+    return {"op2_toxicity": op2_toxicity, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

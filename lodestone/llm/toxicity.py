@@ -134,3 +134,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(located, place)], [id_column, "score", "sentences"])
 
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, score double, sentences array<struct<begin:bigint,end:bigint,score:double>>")
+
+
+def accepted(docs: DataFrame, model: Model, text_column: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``below``, with all their columns."""
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        for batch in pieces(batches):
+            yield batch.filter(pa.array([model.score([x[2] for x in model.sentences(t.decode())]) < below for t in utf8(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
