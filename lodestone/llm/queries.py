@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, mixing, neardup, pieces, privacy, sharding, toxicity
+from . import ann, lattice, mixing, neardup, pieces, privacy, sharding, toxicity
 from .common import fold, table
 
 N_SHARDS = 16
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("sentences").alias("n_offending"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lattice.score(table(spark, sf_dir, "documents"), fold("doc_id") != 1, public_tokenizers.path("piece_bpe_32k.model"))
     return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -62,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op4_lattice_lm": op4_lattice_lm, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
+    return {"op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_lattice_lm": op4_lattice_lm, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
