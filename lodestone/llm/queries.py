@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lattice, mixing, neardup, pieces, privacy, sharding, toxicity
+from . import ann, lattice, mixing, neardup, pieces, privacy, sharding, toxicity, webp
 from .common import fold, table
 
 N_SHARDS = 16
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(webp.store_column(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", *webp.DIGESTS)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id") != 0)
@@ -66,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_lattice_lm": op4_lattice_lm, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
+    return {"op1_webp": op1_webp, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_lattice_lm": op4_lattice_lm, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
