@@ -34,7 +34,7 @@ from .components import components
 BANDS, ROWS = 40, 6
 BATCH = 30
 MISS = 1e-6
-BLOCK = 256
+BLOCK = 2048
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -224,29 +224,49 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(crowded: DataFrame, sketched: DataFrame, labels: DataFrame, lanes: int, threshold: float, miss: float) -> DataFrame:
-    """Surviving pairs (a, b) of a bucket's nodes that are in different components, compared block by block."""
-    member = crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = member.join(open_.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    full = placed.join(sketched.select("node", "sketch"), "node").select("bucket", "i", "j", "own", "node", "component", "sketch")
+def _across(crowded: DataFrame, sketched: DataFrame, texts: DataFrame, labels: DataFrame, width: int, lanes: int, threshold: tuple[int, int], miss: float) -> DataFrame:
+    """Verified links (a, b) between a bucket's nodes that are in different components.
+
+    Buckets with the same nodes are handled once. Nodes outside a bucket's largest component meet all its nodes in
+    blocks of at most about ``BLOCK`` by ``BLOCK``; signatures and full sets are compared where the block is, and only
+    links that join two components there leave it, so the rows made grow with the nodes, not with their pairs.
+    """
+    part, whole = threshold
+    content = crowded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    once = content.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    member = crowded.join(once, "bucket", "left_semi").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "component"))
+    open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), largest["component"].alias("main"), largest["n"].alias("inside"), F.count("*").alias("k")).where("k > 1")
+    blocks, visitors = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
+    placed = member.join(open_.select("bucket", "main", blocks.alias("blocks"), visitors.alias("visitors")), "bucket")
+    own = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    home = placed.select("bucket", own("blocks").alias("i"), every("visitors").alias("j"), F.lit(False).alias("visits"), "node", "component")
+    visit = placed.where("component != main").select("bucket", every("blocks").alias("i"), own("visitors").alias("j"), F.lit(True).alias("visits"), "node", "component")
+    full = home.unionByName(visit).join(sketched.select("node", "sketch"), "node").join(texts.select("node", "text"), "node").select("bucket", "i", "j", "visits", "node", "component", "sketch", "text")
 
     def run(batches):
         for group in _runs(batches, 3):
-            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            own, node, component = (group.column(k).to_numpy() for k in (3, 4, 5))
-            sketch = _lanes(group.column(6), lanes)
-            first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            visits, node, component = group.column(3).to_numpy(), group.column(4).to_numpy(), group.column(5).to_numpy().copy()
+            sketch, text = _lanes(group.column(6), lanes), utf8(group.column(7))
+            first, second = np.flatnonzero(visits), np.flatnonzero(~visits)
+            sets: dict[int, set[bytes]] = {}
             found = []
             for x in first.tolist():
-                others = second[(component[second] != component[x])]
-                if i == j:
-                    others = others[others > x]
-                if len(others):
-                    found += [(node[x], node[y]) for y in others[surviving(np.broadcast_to(sketch[x], (len(others), lanes)), sketch[others], threshold, miss)].tolist()]
+                others = second[component[second] != component[x]]
+                if not len(others):
+                    continue
+                for y in others[surviving(np.broadcast_to(sketch[x], (len(others), lanes)), sketch[others], threshold[0] / threshold[1], miss)].tolist():
+                    if component[x] == component[y]:
+                        continue
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = shingles(text[z], width)
+                    common = len(sets[x] & sets[y])
+                    if whole * common >= part * (len(sets[x]) + len(sets[y]) - common):
+                        found.append((node[x], node[y]))
+                        component[component == component[y]] = component[x]
             if found:
                 a, b = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
@@ -273,8 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     texts = stored(texts.join(near, "node", "left_semi"), "near-texts")
     links = stored(_verified(star, texts, width, threshold), "links")
     labels = components(links)
-    across = stored(_across(crowded.select("bucket", "node"), sketched, labels, lanes, least, miss), "across")
-    more = stored(_verified(across.join(star, ["a", "b"], "left_anti"), texts, width, threshold), "more-links")
+    more = stored(_across(crowded.select("bucket", "node"), sketched, texts, labels, width, lanes, threshold, miss), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
