@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lattice, mixing, neardup, pieces, privacy, sharding, toxicity, webp
+from . import ann, lattice, mixing, neardup, pieces, privacy, sharding, suffixes, toxicity, webp
 from .common import fold, table
 
 N_SHARDS = 16
@@ -37,6 +37,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=(80, 100))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
@@ -70,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_webp": op1_webp, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_lattice_lm": op4_lattice_lm, "op5_near_dedup": op5_near_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
+    return {"op1_webp": op1_webp, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_lattice_lm": op4_lattice_lm, "op5_near_dedup": op5_near_dedup, "op6_suffix_dedup": op6_suffix_dedup, "op7_sharding": op7_sharding, "op8_sentencepiece": op8_sentencepiece, "op9_privacy": op9_privacy, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
