@@ -83,8 +83,10 @@ def label_counts(df: DataFrame, labels: str, name: str = "label") -> DataFrame:
 
 def json_types(df: DataFrame, column: str) -> DataFrame:
     """key, type of every top-level key of JSON objects held as text."""
-    parsed = df.select(F.try_parse_json(column).alias("v"), F.explode(F.json_object_keys(column)).alias("field"))
-    kind = F.schema_of_variant(F.try_variant_get(F.col("v"), "$", "variant"))
-    value = F.get_json_object(F.to_json("v"), F.concat(F.lit("$."), F.col("field")))
-    typed = F.when(value.isNull(), "null").when(value.rlike(r"^-?[0-9]+$"), "int").when(value.rlike(r"^-?[0-9.eE+-]+$"), "float").when(value.isin("true", "false"), "bool").when(value.startswith("["), "list").when(value.startswith("{"), "dict").otherwise("str")
-    return parsed.select("field", typed.alias("type"), value.alias("value"), kind.alias("record_schema"))
+    keys = df.select(F.col(column).alias("json"), F.explode(F.json_object_keys(column)).alias("field"))
+    rows = keys.select("field", F.expr("get_json_object(json, concat('$.', field))").alias("value"))
+    typed = (
+        F.when(F.col("value").isNull(), "null").when(F.col("value").rlike("^-?[0-9]+$"), "int").when(F.col("value").rlike("^-?[0-9]*\\.?[0-9]+([eE][+-]?[0-9]+)?$"), "float")
+        .when(F.col("value").isin("true", "false"), "bool").when(F.col("value").startswith("["), "list").when(F.col("value").startswith("{"), "dict").otherwise("str")
+    )
+    return rows.select("field", typed.alias("type"), "value")
