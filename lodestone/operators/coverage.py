@@ -42,7 +42,8 @@ def bidirectional(scores: DataFrame, candidates: DataFrame, thresholds: Sequence
     found = base.join(reach(items, "items_hit"), [*pair, "threshold"], "left").join(reach(chunks, "chunks_hit"), [*pair, "threshold"], "left")
     share = lambda hit, n: F.round(F.when((F.col("n_chunks") > 0) & (F.col("n_items") > 0), F.coalesce(hit, F.lit(0)) / F.col(n)).otherwise(0.0), 6)
     found = found.select(*pair, "threshold", share("items_hit", "n_items").alias("syllabus_to_outline"), share("chunks_hit", "n_chunks").alias("outline_to_syllabus"))
-    return found.withColumn("bidirectional", F.round((F.col("syllabus_to_outline") + F.col("outline_to_syllabus")) / 2, 6))
+    millionths = lambda c: F.round(F.col(c) * 1_000_000).cast("long")  # noqa: E731  whole numbers, so that halves round up alike everywhere
+    return found.withColumn("bidirectional", F.floor((millionths("syllabus_to_outline") + millionths("outline_to_syllabus") + 1) / 2) / 1_000_000.0)
 
 
 def best_matches(scores: DataFrame, threshold: float, k: int = 5) -> DataFrame:
@@ -58,7 +59,7 @@ def rerank_score(weights: Mapping[str, float]):
     for name, w in weights.items():
         part = F.lit(float(w)) * F.col(name)
         total = part if total is None else total + part
-    return F.round(total, 9)
+    return F.round(total, 12)
 
 
 #: Weight vectors over (hybrid, lexical maximum, dense maximum, coverage).

@@ -34,19 +34,15 @@ def topic(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, '{SPACE}', ' ', 'g'), '^[ \t\r\n,，;；:：]+|[ \t\r\n,，;；:：]+$', '', 'g')"
 
 
-def gram_list(n: int, whole: bool = True) -> str:
-    """Grams of column k (characters in c)."""
-    grams = f"list_transform(range(1, length(k) - {n} + 2), lambda i: array_to_string(list_slice(c, i, i + {n - 1}), ''))"
-    if whole:
-        return f"case when length(k) = 0 then [] when length(k) <= {n} then [k] else {grams} end"
-    return f"case when length(k) < {n} then [] else {grams} end"
-
-
 def postings(table: str, id_column: str, text: str, low: int, high: int | None = None, whole: bool = True, normalise: bool = True) -> str:
-    """(id, gram, tf)."""
+    """(id, gram, tf): characters by position, joined with those that follow."""
+    high = high or low
     k = key(text) if normalise else rf"lower(regexp_replace({text}, '\s\s+', ' ', 'g'))"
-    lists = " union all ".join(f"select id, unnest({gram_list(n, whole)}) as gram from chars" for n in range(low, (high or low) + 1))
-    return f"(with chars as (select {id_column} as id, {k} as k, str_split({k}, '') as c from {table}), grams as ({lists}) select id, gram, count(*) as tf from grams group by all)"
+    leads = ", ".join(f"lead(c, {i}) over w as c{i}" for i in range(1, high))
+    grams = " union all ".join(f"select id, {' || '.join(['c', *(f'c{i}' for i in range(1, n))])} as gram from leads" for n in range(low, high + 1))
+    short = " ".join(f"union all select id, k as gram from keyed where length(k) between 1 and {n - 1}" for n in range(low, high + 1)) if whole else ""
+    return f"""(with keyed as (select {id_column} as id, {k} as k from {table}), chars as (select id, unnest(str_split(k, '')) as c, generate_subscripts(str_split(k, ''), 1) as i from keyed where k <> ''),
+      leads as (select id, c, {leads} from chars window w as (partition by id order by i)), grams as ({grams} {short}) select id, gram, count(*) as tf from grams where gram is not null group by all)"""
 
 
 def bm25(queries: str, catalogue: str, n: str) -> str:
