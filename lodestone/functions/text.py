@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The typographic punctuation that is folded, semesters, degrees, and words of two department families.
 PUNCTUATION = {"（": "(", "）": ")", "［": "[", "］": "]", "【": "[", "】": "]", "，": ",", "：": ":", "；": ";", "／": "/", "－": "-", "–": "-", "—": "-"}
@@ -37,7 +38,7 @@ def compatible(text: Column) -> Column:
     return F.translate(text, *_single_forms())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lodestone.functions import text as T
 
@@ -64,7 +65,7 @@ def overlap_decisions(staged: DataFrame, primary: DataFrame, keys: Mapping[str,
     return out.select(id_column, F.array_join(match, ",").alias("match_keys"), F.array_join(dup, ",").alias("duplicate_keys"), decision.alias("decision"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / (len a + len b) with M from recursive longest matching blocks; not symmetric; 1.0 for two empty titles."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
