@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lattice, mixing, neardup, pieces, privacy, sharding, suffixes, toxicity, webp
+from . import ann, lattice, mixing, neardup, oracles, pieces, privacy, sharding, suffixes, toxicity, webp
 from .common import fold, table
 
 N_SHARDS = 16
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
