@@ -21,10 +21,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK = 64
 PERIOD = 1_000
 MOST_SOURCES = 5_000
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def tempered(counts: Mapping[str | None, int], power: float = 0.5) -> dict[str | None, float]:
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     key = F.xxhash64(F.col(id_column).cast("string"))
     bucket = F.floor((F.shiftrightunsigned(key, 1) / F.lit(float(2**63))) * buckets)
     rows = docs.select(F.struct("*").alias("row"), F.col(source_column).cast("string").alias("s"), key.alias("key"), F.least(bucket, F.lit(buckets - 1)).alias("bucket"))
-    sizes = rows.groupBy("s", "bucket").agg(F.count("*").alias("size"))
+    sizes = stored(rows.groupBy("s", "bucket").agg(F.count("*").alias("size")), "bucket-sizes")
     before = sizes.select(F.col("s").alias("s2"), F.col("bucket").alias("bucket2"), (F.sum("size").over(Window.partitionBy("s").orderBy("bucket")) - F.col("size")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("s", "bucket").orderBy("key", F.xxhash64("row"))) - 1
     ranked = rows.withColumn("inside", inside).join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("bucket2"))).withColumn("rank", F.col("before") + F.col("inside"))
