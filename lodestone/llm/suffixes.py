@@ -163,7 +163,7 @@ def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeat_places(docs: DataFrame, texts: DataFrame, occurrences: DataFrame, length: int) -> DataFrame:
     """gram, context, first, last: starts (from the context's low end) that are repeated."""
     classes = stored(occurrences.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "n_bytes", "low", "high")).alias("at")), "classes")
-    groups = classes.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("total"))
+    groups = stored(classes.groupBy("gram").agg(F.count("*").alias("contexts")), "grams")
     sized = classes.join(groups, "gram")
     single = sized.where("contexts = 1 and n > 1").select("gram", "context", F.lit(0).cast("long").alias("first"), (F.col("at.high") - F.col("at.low")).alias("last"))
     several = sized.where("contexts > 1").select("gram", "context", "n", "contexts", F.col("at.key").alias("key"), F.col("at.n_bytes").alias("n_bytes"), F.col("at.low").alias("low"), F.col("at.high").alias("high"))
@@ -239,7 +239,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in columns], ["gram", "context", "key", "n_bytes", "low", "high"])
 
     found = stored(keyed.where(F.col("n_bytes") >= length).select("key", "n_bytes", "text").mapInArrow(find, "gram long, context long, key long, n_bytes long, low long, high long"), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    # a table of its own, so that the join's large partitions can be split
+    often = stored(found.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "often")
     occurrences = stored(found.join(often, "gram", "left_semi"), "occurrences")
     touched = stored(occurrences.select("key", "n_bytes").distinct(), "touched")
     small = touched.count() <= BROADCAST_KEYS
