@@ -16,9 +16,13 @@ BROADCAST_POSTINGS = 2_000_000
 
 
 def postings(df: DataFrame, id_column: str, text: Column, low: int, high: int | None = None, whole_if_short: bool = True, normalise: bool = True) -> DataFrame:
-    """id, gram, tf."""
+    """id, gram, tf.
+
+    Texts are dealt by id before they are cut up, so counting grams, and all that is later counted by id, needs no
+    exchange of the many gram rows.
+    """
     key = T.norm_key(text) if normalise else F.lower(F.regexp_replace(text, r"\s\s+", " "))
-    keyed = df.select(F.col(id_column).alias("id"), key.alias("key"))
+    keyed = df.select(F.col(id_column).alias("id"), key.alias("key")).repartition("id")
     return keyed.select("id", F.explode(T.grams(F.col("key"), low, high, whole_if_short)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
