@@ -63,3 +63,17 @@ def histogram(df: DataFrame, column: Column, name: str) -> DataFrame:
 def sliced_summary(df: DataFrame, by: str, *aggregates: Column) -> DataFrame:
     """Overall (null) and by slice in one pass, by grouping sets."""
     return df.rollup(by).agg(F.grouping(by).cast("long").alias("overall"), *aggregates)
+
+
+def abstentions(df: DataFrame, partial: Column, reason: str, *keep: str) -> DataFrame:
+    """Records that are left out of retrieval, with why."""
+    return df.where(partial).select(*keep, F.lit(reason).alias("abstention_reason"), F.lit("abstained").alias("retrieval_status"), F.lit("blocked").alias("promotion_status"))
+
+
+def union_pool(*pools: DataFrame) -> DataFrame:
+    """query_id, item_id, pools: ordered union without repeats; ``pools`` says which (from 0) hold the pair."""
+    parts = [p.select("query_id", "item_id", F.lit(i).alias("p")) for i, p in enumerate(pools)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("query_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("pools"))

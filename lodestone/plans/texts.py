@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import audit, chunk
+from lodestone.operators import audit, chunk, views
 from lodestone.sources.io import table
 
 from . import sql as S
@@ -101,3 +101,31 @@ def topic_labels(spark, d):
 @query("select url_host as source_label, count(*) as n from (select regexp_extract(url, '^https?://([^/]+)', 1) as url_host from pages) group by 1")
 def corroboration_counts(spark, d):
     return audit.histogram(table(spark, d, "pages"), F.regexp_extract("url", "^https?://([^/]+)", 1), "source_label")
+
+
+ROLES = "(select conv_id, coalesce(string_agg(text, ' ' order by turn, text) filter (role = 'system'), '') as system, coalesce(string_agg(text, ' ' order by turn, text) filter (role = 'user'), '') as user_, coalesce(string_agg(text, ' ' order by turn, text) filter (role = 'assistant'), '') as assistant from conversations group by conv_id)"
+
+
+@query(f"select conv_id, md5(concat_ws(chr(10), nullif(user_, ''), nullif(assistant, ''))) as topic_text, md5(concat_ws(chr(10), nullif(system, ''), nullif(user_, ''), nullif(assistant, ''))) as content_text, system <> '' as has_system, user_ <> '' as has_user_, assistant <> '' as has_assistant from {ROLES}")
+def section_views(spark, d):
+    of = lambda r: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    sections = table(spark, d, "conversations").groupBy("conv_id").agg(of("system").alias("system"), of("user").alias("user_"), of("assistant").alias("assistant"))
+    seen = views.section_views(sections, "conv_id", {"topic_text": ("user_", "assistant"), "content_text": ("system", "user_", "assistant")}, ("system", "user_", "assistant"))
+    return seen.withColumns({c: F.md5(c) for c in ("topic_text", "content_text")})
+
+
+@query(f"select p_partkey, p_name, p_brand, {S.display('p_name')} as p_name_normalised, upper(regexp_replace({S.display('p_brand')}, '{S.SPACE}', '', 'g')) as p_brand_normalised from part")
+def normalised_records(spark, d):
+    return views.normalised_records(table(spark, d, "part"), ["p_partkey"], {"p_name": T.display, "p_brand": T.code})
+
+
+@query("select doc_id, md5(concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(lang, ''), nullif(left(text, 80), ''))) as document_md5 from documents")
+def weighted_document_text(spark, d):
+    docs = table(spark, d, "documents").withColumn("opening", F.substring("text", 1, 80))
+    return docs.select("doc_id", F.md5(views.weighted_document({"source": 1, "lang": 2, "opening": 1})).alias("document_md5"))
+
+
+@query("select doc_id, source, 'label_missing' as abstention_reason, 'abstained' as retrieval_status, 'blocked' as promotion_status from documents where doc_id not in (select doc_id from labels)")
+def abstention_queue(spark, d):
+    marked = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    return audit.abstentions(marked, F.col("known").isNull(), "label_missing", "doc_id", "source")

@@ -164,3 +164,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("lanes").collect())) == sorted(map(tuple, event_windows(events).collect()))
+
+
+def test_views(spark):
+    from lodestone.operators import views
+
+    row = spark.createDataFrame([("s", ["a", "b"], [("1", "x"), ("2", "y")], None)], "subject string, core array<string>, outline array<struct<level:string,text:string>>, remarks string")
+    assert row.select(views.document_text(F.col("subject"), F.col("core"), F.col("outline"), F.col("remarks"))).first()[0] == "s a b x y"
+    labels = {"outline": (("outline:",), ("note:",)), "objectives": (("goals:",), ("outline:", "note:")), "schedule": (("schedule:",), ("note:",))}
+    blob = spark.createDataFrame([("Goals: g Outline: o note: n", "f"), ("Goals: g", "f")], "b string, f string")
+    got = blob.select(*(c.alias(n) for n, c in views.curated_views(F.col("b"), F.col("f"), labels).items())).collect()
+    assert [tuple(r) for r in got] == [(" o \n g ", " g \n o ", False), ("f\n g", " g\nf", True)]
+    vectors = views.encoded(spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string"), "id", "t", lambda: lambda texts: [[float(len(t))] for t in texts])
+    assert sorted(map(tuple, vectors.collect())) == [(1, [2.0]), (2, [0.0])]
+    pool = audit.union_pool(*(spark.createDataFrame(p, "query_id long, item_id long") for p in ([(1, 1)], [(1, 1), (1, 2)])))
+    assert sorted(map(tuple, pool.collect())) == [(1, 1, "0,1"), (1, 2, "1")]
