@@ -55,14 +55,28 @@ def bags(text: str) -> list[set[str]]:
     return [set(WORD.findall(s.lower())) for s in SENTENCE.findall(text)]
 
 
-def fit_bags(rows: list[tuple[int, list[list[int]]]], n_words: int, steps: int = 300, rate: float = 0.15, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the mean log-likelihood; rows: (label, word numbers of each sentence)."""
-    label = np.array([y for y, _ in rows], float)
-    doc = np.repeat(np.arange(len(rows)), [len(b) for _, b in rows])
-    sizes = np.array([len(s) for _, b in rows for s in b], int)
-    flat = np.array([w for _, b in rows for s in b for w in s], int)
+@dataclass(frozen=True)
+class Bags:
+    """Labels; sentences of each document; words of each sentence; the words' numbers, one after the other."""
+
+    label: np.ndarray
+    sentences: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+
+
+def packed(rows: list[tuple[int, list[list[int]]]]) -> Bags:
+    """From (label, word numbers of each sentence)."""
+    flat = [s for _, bag in rows for s in bag]
+    return Bags(np.array([y for y, _ in rows], float), np.array([len(bag) for _, bag in rows], np.int64), np.array([len(s) for s in flat], np.int64), np.array([w for s in flat for w in s], np.int64))
+
+
+def fit_bags(bags_: Bags, n_words: int, steps: int = 300, rate: float = 0.15, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the mean log-likelihood."""
+    label, sizes, flat = bags_.label, bags_.sizes, bags_.words
+    doc = np.repeat(np.arange(len(label)), bags_.sentences)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    share = label.mean() if len(rows) else 0.0
+    share = label.mean() if len(label) else 0.0
     theta = np.zeros(n_words + 1)
     theta[-1] = -6.0
     if not 0 < share < 1 or not len(doc):
@@ -71,9 +85,9 @@ def fit_bags(rows: list[tuple[int, list[list[int]]]], n_words: int, steps: int =
     for step in range(1, steps + 1):
         logit = np.clip(theta[-1] + np.bincount(owner, theta[flat], len(sizes)), -30, 30)
         p = 1 / (1 + np.exp(-logit))
-        none = np.bincount(doc, np.logaddexp(0, logit), len(rows))  # -log of the probability that no sentence is toxic
+        none = np.bincount(doc, np.logaddexp(0, logit), len(label))  # -log of the probability that no sentence is toxic
         odds = np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12)
-        grad = np.where(label[doc] == 1, -odds[doc], 1.0) * p / len(rows)
+        grad = np.where(label[doc] == 1, -odds[doc], 1.0) * p / len(label)
         g = np.append(np.bincount(flat, grad[owner], n_words), grad.sum()) + penalty * np.append(theta[:-1], 0) / 10
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -110,11 +124,15 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
 
     def numbered(batches):
         for batch in pieces(batches):
-            rows = [[sorted(number[w] for w in s if w in number) for s in bags(text.decode())] for text in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["label", "bags"])
-
-    rows = [(r[0], r[1]) for r in texts.mapInArrow(numbered, "label int, bags array<array<int>>").collect()] if chosen else []
-    weights, bias = fit_bags(rows, len(chosen))
+            rows = [(y, [sorted(number[w] for w in s if w in number) for s in bags(text.decode())]) for y, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)))]
+            found = packed(rows)
+            narrow = (found.label.astype("u1"), found.sentences.astype("<u4"), found.sizes.astype("<u4"), found.words.astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in narrow], ["label", "sentences", "sizes", "words"])
+
+    # a few packed arrays for each batch of the bounded sample
+    parts = texts.mapInArrow(numbered, "label binary, sentences binary, sizes binary, words binary").collect() if chosen else []
+    joined = [np.frombuffer(b"".join(bytes(p[i]) for p in parts), kind) for i, kind in enumerate(("u1", "<u4", "<u4", "<u4"))]
+    weights, bias = fit_bags(Bags(joined[0].astype(float), *(x.astype(np.int64) for x in joined[1:])), len(chosen))
     return Model({w: float(x) for w, x in zip(chosen, weights) if abs(x) > 1e-3}, bias)
 
 

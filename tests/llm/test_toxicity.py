@@ -60,7 +60,7 @@ def test_noisy_or_gradient():
         if y:
             bag[rng.integers(len(bag))].append(0)
         rows.append((y, bag))
-    weights, bias = toxicity.fit_bags(rows, 20)
+    weights, bias = toxicity.fit_bags(toxicity.packed(rows), 20)
     assert weights[0] > 3 and weights[0] > 2 * np.abs(weights[1:]).max() and bias < -2
 
 
