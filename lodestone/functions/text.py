@@ -136,20 +136,18 @@ def first_nonempty(*values: Column) -> Column:
 
 
 def grams(key: Column, low: int, high: int | None = None, whole_if_short: bool = True) -> Column:
-    """Character n-grams with repetition, for n from ``low`` to ``high``, by zipping shifted slices of the characters.
+    """Character n-grams with repetition, for n from ``low`` to ``high``.
 
-    A key no longer than n is one gram (``whole_if_short``), or has none of that n when it is shorter.
+    One pass of a regular expression that consumes a character and looks ahead at n; code points are never cut. A key
+    no longer than n is one gram (``whole_if_short``), or has none of that n when it is shorter.
     """
-    chars, length = F.split(key, ""), F.length(key)
+    length, none = F.length(key), F.array().cast("array<string>")
 
     def of(n: int) -> Column:
-        found = F.slice(chars, 1, F.greatest(length - n + 1, F.lit(0)))
-        for i in range(1, n):
-            found = F.zip_with(found, F.slice(chars, i + 1, F.greatest(length - n + 1, F.lit(0))), lambda a, b: F.concat(a, b))
-        none = F.array().cast("array<string>")
+        found = F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
         if whole_if_short:
             return F.when(length == 0, none).when(length <= n, F.array(key)).otherwise(found)
-        return F.when(length < n, none).otherwise(found)
+        return found
 
     parts = [of(n) for n in range(low, (high or low) + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
