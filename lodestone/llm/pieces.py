@@ -22,7 +22,7 @@ from .common import pieces as cut
 from .common import utf8
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
