@@ -98,7 +98,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
     marked = labels.where(learnable & F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(F.col(label_column).cast("int")).alias("label"))
     total = marked.count()
     if total > most_labelled:
-        marked = marked.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(1_000_000 * most_labelled / total)).limit(most_labelled)
+        h = F.xxhash64(id_column)
+        marked = marked.where(F.pmod(h, F.lit(1_000_000)) < math.ceil(1_050_000 * most_labelled / total)).orderBy(h, id_column).limit(most_labelled)
     texts = docs.select(id_column, text_column).join(F.broadcast(marked), id_column).select("label", F.col(text_column).alias("text"))  # at most most_labelled ids
     texts = stored(texts, "toxicity-sample")
 
