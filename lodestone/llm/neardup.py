@@ -12,7 +12,8 @@
 
 Defined results: texts are lower-cased (A-Z) and cut at ASCII white space; a text with fewer words than a shingle has
 its whole word sequence as one shingle; null texts and texts without words have the empty set and are linked with
-nothing; rows that share an id are one document; a null id is linked with nothing and is its own component (null);
+nothing; rows that share an id are one document, linked with what any of their sets is; a null id is linked with
+nothing and is its own component (null);
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -275,6 +276,15 @@ def _across(crowded: DataFrame, sketched: DataFrame, texts: DataFrame, labels: D
     return clustered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _one_document(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of different sets that rows of one id have."""
+    keys = full.select("doc_id", "set_key").distinct()
+    several = keys.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    named = keys.join(several, "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "node")
+    least = named.groupBy("doc_id").agg(F.min("node").alias("low"))
+    return named.join(least, "doc_id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links), kept (doc_id is its component's)."""
     lanes, least = bands * rows, threshold[0] / threshold[1]
@@ -291,18 +301,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     star = crowded.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     star = stored(_pruned(star, sketched, lanes, least, miss), "star")
     texts = stored(texts.join(near, "node", "left_semi"), "near-texts")
-    links = stored(_verified(star, texts, width, threshold), "links")
+    links = stored(_verified(star, texts, width, threshold).unionByName(_one_document(full, classes)), "links")
     labels = components(links)
     more = stored(_across(crowded.select("bucket", "node"), sketched, texts, labels, width, lanes, threshold, miss), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     mine = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    # rows of one id are one document: the smallest component that any of them reaches
     return mine.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is kept, with all their columns."""
-    gone = near_duplicates(docs, id_column=id_column, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, id_column=id_column, **options).where("not kept").select(F.col("doc_id").alias(id_column)).distinct()
+    return docs.join(gone, id_column, "left_anti").select(docs.columns)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import neardup
 from lodestone.llm.components import components
@@ -66,6 +67,17 @@ def test_defined_cases(spark):
     assert {1, 2, 3, 4, 6, 9} <= kept and 5 not in kept and 7 not in kept
 
 
+def test_rows_of_one_id(spark):
+    """Ids 3 and 8 have two sets each; what either is linked with is one component."""
+    a, b, c = ("one two three four five", "six seven eight nine ten", "all other words stand here")
+    rows = [(3, a), (3, b), (5, b), (1, a), (8, b), (8, c), (9, c), (10, "alone in this table")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1))
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, width=2).collect()}
+    assert got == {(i, 1) for i in (1, 3, 5, 8, 9)} | {(10, 10)}
+    kept = neardup.one_of_each(docs, width=2)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 10}
+
+
 def test_sequential_test_keeps_the_similar():
     table = neardup.least_matches(240, 0.8, 1e-6)
     assert table[-1][0] == 240 and all(m < 0.8 * n for n, m in table)
