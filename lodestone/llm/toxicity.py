@@ -1,11 +1,15 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences and only the bag has a label. A sentence's probability is logistic in the words it
-holds; a document's is the noisy-or of its sentences, 1 - prod(1 - p). Its log-likelihood is maximised over the words'
-weights, so the blame settles on the sentences that set toxic documents apart, and those can then be located.
+A document is a bag of sentences and only the bag has a label. A sentence's logit is the bias and the weights, none
+negative, of the words it holds. Only evidence counts: with 1 - p = (1 + e^EVIDENCE) / (1 + e^logit), p is 0 up to the
+logit ``EVIDENCE``, so a document's probability, the noisy-or 1 - prod(1 - p) of its sentences, doesn't depend on the
+number of neutral ones. The log-likelihood is maximised over the weights (with a probability for toxic documents
+without evidence, which scoring leaves out), so the blame settles on the sentences that set toxic documents apart, and
+those can then be located.
 
 The model is fitted on at most ``MOST_LABELLED`` labelled documents (chosen by a hash of the id among all rows that
-may be learnt from) and ``MOST_WORDS`` words (those with the largest likelihood ratio), both parameters. Scoring
+may be learnt from) and ``MOST_WORDS`` words (of those more frequent in toxic documents, the ones with the largest likelihood ratio), both
+parameters. Scoring
 reads every whole text.
 
 Defined results: null and empty texts have no sentence and get the score 0; a null id is in the fold of the empty
@@ -29,6 +33,7 @@ from .common import pieces, stored, utf8
 
 MOST_LABELLED = 20_000
 MOST_WORDS = 2_000
+EVIDENCE = 0.0
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,8 +52,9 @@ class Model:
         return found
 
     def score(self, logits: list[float]) -> float:
-        """Noisy-or over the sentences' logits."""
-        return -math.expm1(-sum(x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x)) for x in logits))
+        """Noisy-or over the sentences whose logit is above ``EVIDENCE``."""
+        none = math.log1p(math.exp(EVIDENCE))
+        return -math.expm1(-sum(max(x, 0.0) + math.log1p(math.exp(-abs(x))) - none for x in logits if x > EVIDENCE))
 
 
 def bags(text: str) -> list[set[str]]:
@@ -72,26 +78,34 @@ def packed(rows: list[tuple[int, list[list[int]]]]) -> Bags:
 
 
 def fit_bags(bags_: Bags, n_words: int, steps: int = 300, rate: float = 0.15, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the mean log-likelihood."""
+    """Weights and bias by Adam on the mean log-likelihood, first with all logits above the bias as evidence."""
     label, sizes, flat = bags_.label, bags_.sizes, bags_.words
-    doc = np.repeat(np.arange(len(label)), bags_.sentences)
+    doc = np.repeat(np.arange(len(label)), bags_.sentences)[sizes > 0]
+    sizes = sizes[sizes > 0]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     share = label.mean() if len(label) else 0.0
-    theta = np.zeros(n_words + 1)
-    theta[-1] = -6.0
+    theta = np.zeros(n_words + 2)  # weights, bias, logit of a toxic document without evidence
+    theta[-2:] = -6.0, -3.0
     if not 0 < share < 1 or not len(doc):
-        return theta[:-1], theta[-1]
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        logit = np.clip(theta[-1] + np.bincount(owner, theta[flat], len(sizes)), -30, 30)
-        p = 1 / (1 + np.exp(-logit))
-        none = np.bincount(doc, np.logaddexp(0, logit), len(label))  # -log of the probability that no sentence is toxic
-        odds = np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12)
-        grad = np.where(label[doc] == 1, -odds[doc], 1.0) * p / len(label)
-        g = np.append(np.bincount(flat, grad[owner], n_words), grad.sum()) + penalty * np.append(theta[:-1], 0) / 10
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return theta[:-1], float(theta[-1])
+        return theta[:-2], theta[-2]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for floor in (-math.inf, EVIDENCE):
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, steps + 1):
+            logit = np.clip(theta[-2] + np.bincount(owner, theta[flat], len(sizes)), -30, 30)
+            base = max(floor, theta[-2])
+            above = np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, base), 0)
+            none = np.bincount(doc, above, len(label)) + np.logaddexp(0, theta[-1])  # -log of the probability that nothing is toxic
+            odds = np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12)
+            outer = np.where(label == 1, -odds, 1.0) / len(label)
+            inner = outer[doc] * (logit >= base)
+            grad = inner * sigmoid(logit)
+            g = np.append(np.bincount(flat, grad[owner], n_words) + penalty * theta[:-2] / 10, [grad.sum() - (inner.sum() * sigmoid(base) if base > floor else 0), (outer * sigmoid(theta[-1])).sum()])
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+            theta[:-2] = np.maximum(theta[:-2], 0)
+            theta[-2] = min(theta[-2], EVIDENCE - 1)
+    return theta[:-2], float(theta[-2])
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_labelled: int = MOST_LABELLED, most_words: int = MOST_WORDS) -> Model:
@@ -120,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
     n, t = F.col("n").cast("double"), F.col("t").cast("double")
     share = n_toxic / max(n_docs, 1)
     ratio = cell(t, n * share) + cell(n - t, n * (1 - share)) + cell(n_toxic - t, (n_docs - n) * share) + cell((n_docs - n_toxic) - (n - t), (n_docs - n) * (1 - share))
-    chosen = [r[0] for r in words.orderBy(F.desc(ratio), "word").limit(most_words).select("word").collect()] if 0 < n_toxic < n_docs else []
+    chosen = [r[0] for r in words.where(t > n * share).orderBy(F.desc(ratio), "word").limit(most_words).select("word").collect()] if 0 < n_toxic < n_docs else []
     number = {w: i for i, w in enumerate(chosen)}
 
     def numbered(batches):

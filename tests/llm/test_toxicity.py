@@ -74,3 +74,15 @@ def test_defined_cases(spark, learnt):
     assert toxicity.score(empty, model).collect() == []
     none = toxicity.learn(empty, spark.createDataFrame([(1, None)], "doc_id long, toxic int"), fold("doc_id") != 0)
     assert none.weights == {} and toxicity.score(spark.createDataFrame([(1, "a. b")], "doc_id long, text string"), none).first().score < 0.5
+
+
+def test_neutral_sentences_do_not_add_up(spark, learnt):
+    docs, model = learnt
+    known = set(toxicity.WORD.findall(" ".join(r.text for r in docs.collect()).lower())) - set(BAD)
+    neutral = ". ".join(["of nothing at all"] * 50_000)
+    r = random.Random(5)
+    seen = ". ".join(" ".join(r.choices(sorted(known), k=5)) for _ in range(50_000))
+    rows = [(1, neutral), (2, seen), (3, neutral + ". scum"), (4, "scum")]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == 0 and got[2] < 0.5 and got[3] == got[4] > 0.5
+    assert {r.doc_id for r in toxicity.accepted(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()} == {1, 2}
