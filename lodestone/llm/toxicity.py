@@ -1,15 +1,16 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences and only the bag has a label. A sentence's logit is the bias and the weights, none
-negative, of the words it holds. Only evidence counts: with 1 - p = (1 + e^EVIDENCE) / (1 + e^logit), p is 0 up to the
+negative, of the words and word beginnings (so inflected forms share what is learnt) it holds. Only evidence counts: with 1 - p = (1 + e^EVIDENCE) / (1 + e^logit), p is 0 up to the
 logit ``EVIDENCE``, so a document's probability, the noisy-or 1 - prod(1 - p) of its sentences, doesn't depend on the
 number of neutral ones. The log-likelihood is maximised over the weights (with a probability for toxic documents
 without evidence, which scoring leaves out), so the blame settles on the sentences that set toxic documents apart, and
-those can then be located.
+those can then be located. A weight is drawn to the log odds of its word's documents rather than to 0: a word that
+stands in toxic documents only keeps its weight where others explain these documents already.
 
 The model is fitted on at most ``MOST_LABELLED`` labelled documents (chosen by a hash of the id among all rows that
-may be learnt from) and ``MOST_WORDS`` words (of those more frequent in toxic documents, the ones with the largest likelihood ratio), both
-parameters. Scoring
+may be learnt from) and ``MOST_WORDS`` words and beginnings (of those more frequent in toxic documents, the ones with the largest
+likelihood ratio), both parameters. Scoring
 reads every whole text.
 
 Defined results: null and empty texts have no sentence and get the score 0; a null id is in the fold of the empty
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +37,45 @@ MOST_WORDS = 2_000
 EVIDENCE = 0.0
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"[^\W\d_]+")
+BEGINNINGS = range(3, 8)
+CACHED = 200_000
+
+
+def features(word: str) -> list[str]:
+    """The word, and its proper beginnings with a hyphen."""
+    return [word, *(word[:k] + "-" for k in BEGINNINGS if k < len(word))]
 
 
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float
+    blank: set[str] = field(default_factory=set, compare=False, repr=False)  # words seen that have no weight
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(begin, end, score) of each sentence, in code points."""
         known, found = self.weights.keys(), []
         for m in SENTENCE.finditer(text):
-            hit = known & set(WORD.findall(m[0].lower()))
+            words = set(WORD.findall(m[0].lower())) - self.blank
+            hit = set()
+            for word in words:
+                if mine := known & set(features(word)):
+                    hit |= mine
+                else:
+                    if len(self.blank) >= CACHED:
+                        self.blank.clear()
+                    self.blank.add(word)
             found.append((m.start(), m.end(), self.bias + sum(map(self.weights.__getitem__, sorted(hit))) if hit else self.bias))
         return found
 
     def score(self, logits: list[float]) -> float:
         """Noisy-or over the sentences whose logit is above ``EVIDENCE``."""
         none = math.log1p(math.exp(EVIDENCE))
-        return -math.expm1(-sum(max(x, 0.0) + math.log1p(math.exp(-abs(x))) - none for x in logits if x > EVIDENCE))
+        return max(0.0, -math.expm1(-sum(max(x, 0.0) + math.log1p(math.exp(-abs(x))) - none for x in logits if x > EVIDENCE)))
 
 
 def bags(text: str) -> list[set[str]]:
+    """The words of each sentence."""
     return [set(WORD.findall(s.lower())) for s in SENTENCE.findall(text)]
 
 
@@ -77,8 +95,11 @@ def packed(rows: list[tuple[int, list[list[int]]]]) -> Bags:
     return Bags(np.array([y for y, _ in rows], float), np.array([len(bag) for _, bag in rows], np.int64), np.array([len(s) for s in flat], np.int64), np.array([w for s in flat for w in s], np.int64))
 
 
-def fit_bags(bags_: Bags, n_words: int, steps: int = 300, rate: float = 0.15, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the mean log-likelihood, first with all logits above the bias as evidence."""
+def fit_bags(bags_: Bags, n_words: int, steps: int = 1500, rate: float = 0.1, penalty: float = 1e-4, settled: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the mean log-likelihood, first with all logits above the bias as evidence.
+
+    Each of the two ends when 50 steps gain less than ``settled`` of the loss, or after ``steps``.
+    """
     label, sizes, flat = bags_.label, bags_.sizes, bags_.words
     doc = np.repeat(np.arange(len(label)), bags_.sentences)[sizes > 0]
     sizes = sizes[sizes > 0]
@@ -89,22 +110,31 @@ def fit_bags(bags_: Bags, n_words: int, steps: int = 300, rate: float = 0.15, pe
     if not 0 < share < 1 or not len(doc):
         return theta[:-2], theta[-2]
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    both = np.unique(doc[owner] * n_words + flat)  # each word once a document
+    n, t = np.bincount(both % n_words, minlength=n_words), np.bincount(both % n_words, label[both // n_words], n_words)
+    prior = np.maximum(np.log((t + 0.5) / (n - t + 0.5)) - math.log(share / (1 - share)), 0)
+    theta[:-2] = prior
     for floor in (-math.inf, EVIDENCE):
-        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        m, v, before = np.zeros_like(theta), np.zeros_like(theta), math.inf
         for step in range(1, steps + 1):
             logit = np.clip(theta[-2] + np.bincount(owner, theta[flat], len(sizes)), -30, 30)
             base = max(floor, theta[-2])
             above = np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, base), 0)
             none = np.bincount(doc, above, len(label)) + np.logaddexp(0, theta[-1])  # -log of the probability that nothing is toxic
             odds = np.exp(-none) / np.maximum(-np.expm1(-none), 1e-12)
+            if step % 50 == 0:
+                loss = np.where(label == 1, -np.log(np.maximum(-np.expm1(-none), 1e-12)), none).mean() + penalty * ((theta[:-2] - prior) ** 2).sum() / 2
+                if before - loss < settled * loss:
+                    break
+                before = loss
             outer = np.where(label == 1, -odds, 1.0) / len(label)
             inner = outer[doc] * (logit >= base)
             grad = inner * sigmoid(logit)
-            g = np.append(np.bincount(flat, grad[owner], n_words) + penalty * theta[:-2] / 10, [grad.sum() - (inner.sum() * sigmoid(base) if base > floor else 0), (outer * sigmoid(theta[-1])).sum()])
+            g = np.append(np.bincount(flat, grad[owner], n_words) + penalty * (theta[:-2] - prior), [grad.sum() - (inner.sum() * sigmoid(base) if base > floor else 0), (outer * sigmoid(theta[-1])).sum()])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
             theta[:-2] = np.maximum(theta[:-2], 0)
-            theta[-2] = min(theta[-2], EVIDENCE - 1)
+            theta[-2] = min(theta[-2], EVIDENCE - 4)  # a neutral sentence stays far from being evidence
     return theta[:-2], float(theta[-2])
 
 
@@ -121,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
         for batch in pieces(batches):
             seen, toxic = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                words = set(WORD.findall(text.decode().lower()))
+                words = {f for w in set(WORD.findall(text.decode().lower())) for f in features(w)}
                 seen.update(words)
                 if label:
                     toxic.update(words)
@@ -139,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
 
     def numbered(batches):
         for batch in pieces(batches):
-            rows = [(y, [sorted(number[w] for w in s if w in number) for s in bags(text.decode())]) for y, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)))]
+            rows = [(y, [sorted({number[f] for w in s for f in features(w) if f in number}) for s in bags(text.decode())]) for y, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)))]
             found = packed(rows)
             narrow = (found.label.astype("u1"), found.sentences.astype("<u4"), found.sizes.astype("<u4"), found.words.astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in narrow], ["label", "sentences", "sizes", "words"])

@@ -86,3 +86,17 @@ def test_neutral_sentences_do_not_add_up(spark, learnt):
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got[1] == 0 and got[2] < 0.5 and got[3] == got[4] > 0.5
     assert {r.doc_id for r in toxicity.accepted(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()} == {1, 2}
+
+
+def test_consistent_words_and_inflected_forms(spark):
+    """Every rare toxic word shares its documents with a frequent one, which could take all the credit."""
+    r = random.Random(6)
+    words = [a + b + "en" for a in "bdfgklmnpr" for b in ("alt", "eist", "orn", "und", "ipf")]
+    forms = ["achlich" + e for e in ("zu", "ver", "ung", "keit", "bar", "los")]
+    text = lambda *more: ". ".join(" ".join(r.choices(words, k=6)) for _ in range(6)) + ". " + " ".join([*r.choices(words, k=3), *more]) + "."
+    docs = [(i, text("scum", r.choice(forms), r.choice(forms)) if i % 5 == 0 else text(), int(i % 5 == 0)) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.learn(d, d.select("doc_id", "toxic"), fold("doc_id") >= 0)
+    asked = [(i, text(*more)) for i, more in enumerate([("scum",), ("achlichzu", "achlichver"), ("achlichheit", "achlichsam"), ()])]
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] > 0.5 and got[3] < 0.5
