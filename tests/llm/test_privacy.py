@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -52,28 +53,92 @@ def test_many_texts(spark):
     check(spark, texts)
 
 
-def test_disclosing_terms(spark):
-    rows = [(i, f"filler{chr(97 + i)} words Bluebird said to mail x@y.org about it now and then") for i in range(4)]
-    rows += [(10 + i, f"common words about it now and then number{chr(97 + i)} of nothing") for i in range(40)]
-    rows += [(60, "Bluebird"), (61, None), (61, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit("clash")).withColumn("terms", F.lit(1))
-    got = {r.row.doc_id: [rows[r.row.doc_id][1][t.start : t.end] for t in r.terms] for r in privacy.spans(docs, alpha=1.5).where("row.doc_id < 4").collect()}
-    total, near = len(rows), [w for w in "words bluebird said mail about it now and then".split() if len(w) >= 3]
+def brute_terms(texts, alpha=privacy.ALPHA, near_alpha=privacy.NEAR_ALPHA):
+    """(start, end) of the disclosing terms of each text, from the definitions."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    group = {"email": lambda v: v.rpartition("@")[2], "ip": lambda v: v.rpartition(".")[0], "card": lambda v: v[:6], "phone": lambda v: v[:4]}
+    docs = []
+    for text in texts:
+        text = text or ""
+        rest, held, near = list(text), set(), {}
+        spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in base(text)]
+        for _, a, b in spans:
+            rest[a:b] = " " * (b - a)
+        rest = "".join(rest)
+        for kind, a, b in spans:
+            value = {"email": str.lower, "ip": str}.get(kind, lambda v: re.sub("[^0-9]", "", v))(text[a:b])
+            left, right = rest[max(0, a - privacy.CONTEXT) : a], rest[b : b + privacy.CONTEXT]
+            left = re.sub(r"^[^\W\d_]+", "", left) if a > privacy.CONTEXT else left
+            right = re.sub(r"[^\W\d_]+$", "", right) if len(rest) - b > privacy.CONTEXT else right
+            for entity in (f"{kind}:{value}", f"{kind}/{group[kind](value)}", kind):
+                held.add(entity)
+                near.setdefault(entity, set()).update(w.lower() for w in word.findall(left) + word.findall(right))
+        docs.append((rest, held, near, {w.lower() for w in word.findall(rest)}))
+    n_term, n_entity = Counter(w for d in docs for w in d[3]), Counter(e for d in docs for e in d[1])
+    beside = Counter((e, w) for d in docs for e, ws in d[2].items() for w in ws)
+    both = Counter((e, w) for d in docs for e in d[1] for w in d[3])
     flagged = set()
-    for w in near:
-        n_term = sum(w in (t or "").lower().split() for _, t in rows)
-        if math.log(4 * total / (n_term * 4)) >= math.log(total / 4) / 1.5:
-            flagged.add(w)
-    assert "bluebird" in flagged and "words" not in flagged
-    assert all({w.lower() for w in found} == flagged for found in got.values()) and len(got) == 4
-    clean = {r.doc_id: r.text for r in privacy.sanitise(docs, alpha=1.5).collect()}
-    assert "x@y.org" not in clean[0] and "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and "Bluebird" not in clean[0]
-    assert clean[60] == "Bluebird" and clean[61] is None and clean[12] == rows[6][1]
-    assert privacy.sanitise(docs).columns == docs.columns and len(privacy.sanitise(docs).collect()) == len(rows)
+    for (e, w), n in both.items():
+        ic, few = math.log(len(docs) / n_entity[e]), min(n_term[w], n_entity[e])
+        pmi = lambda k: math.log(k * len(docs) / (n_term[w] * n_entity[e]))  # noqa: B023, E731
+        anywhere = n >= privacy.least_support(alpha) and pmi(n) * n / (n + 1) * few / (few + 1) >= ic / alpha
+        if ic > 0 and (anywhere or beside[e, w] and pmi(beside[e, w]) >= ic / near_alpha):
+            flagged.add((e, w))
+    return [[(m.start(), m.end()) for m in word.finditer(d[0]) if any((e, m[0].lower()) in flagged for e in d[1])] for d in docs]
+
+
+def found_terms(spark, texts, **options):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"found": F.lit("clash"), "terms": F.lit(1), "key": F.lit(2), "rest": F.lit("x")})
+    got = {r.row.doc_id: [(t.start, t.end) for t in r.terms] for r in privacy.spans(docs, **options).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_disclosing_terms(spark):
+    far = "padding of plain words " * 12
+    texts = [f"filler{chr(97 + i)} words of Bluebird, who said: mail x@y.org about it. {far} Thunderhill." for i in range(4)]
+    texts += [f"common words about it now and then number{chr(97 + i)} of plain padding nothing who said mail write" for i in range(40)]
+    texts += ["Bluebird", None, "", "write to Quixoticus at one@two.net", "+1 (913) 555-3797, 9.8.7.6"]
+    got = found_terms(spark, texts)
+    assert got == brute_terms(texts)
+    marked = [{texts[i][a:b] for a, b in spans} for i, spans in enumerate(got)]
+    assert all({"Bluebird", "Thunderhill"} <= m and "words" not in m for m in marked[:4])  # beside the address, and far from it
+    assert marked[47] == {"Quixoticus"} and not any(marked[4:47]) and not marked[48]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert clean[47] == "write to [TERM] at [EMAIL]" and clean[48] == "[PHONE], [IP]" and clean[44] == "Bluebird"
+    assert clean[45] is None and clean[46] == "" and clean[12] == texts[12]
+    assert privacy.sanitise(docs).columns == docs.columns and len(clean) == len(texts)
+
+
+def test_terms_against_brute_force(spark):
+    r = random.Random(5)
+    words = [a + b + c for a in "bdgk" for b in "aeio" for c in ("rn", "st", "m\u00fcl", "x")]
+    pii = [f"u{i}@d{i % 3}.org" for i in range(6)] + [f"10.0.{i}.1" for i in range(3)] + ["+49 151 2345678"]
+    texts = []
+    for _ in range(150):
+        text = r.choices(words, k=r.randint(0, 60))
+        for _ in range(r.choice([0, 0, 0, 1, 1, 3])):
+            at, value = r.randint(0, len(text)), r.choice(pii)
+            text[at:at] = [value] if r.random() < 0.5 else [value, "Contact" + value[:2].strip("+1u") + ","]
+        texts.append(" ".join(text))
+    texts += texts[:30]  # copies
+    for options in ({}, {"alpha": 1.2, "near_alpha": 1.01}, {"alpha": 4.0, "near_alpha": 2.0}):
+        got = found_terms(spark, texts, **options)
+        assert got == brute_terms(texts, **options)
+    assert any(got)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"name{chr(97 + i % 26)} u{i}@h{i % 50}.org" for i in range(5_000))
+    row = privacy.spans(spark.createDataFrame([(1, text), (2, "\U0001f600" * 5_000 + " a@b.c " + "z" * 5_000 + " 1.2.3.4")], "doc_id long, text string")).orderBy("row.doc_id").collect()
+    assert [(m.start, m.end) for m in row[0].found.email] == [m.span() for m in re.finditer(r"u\d+@h\d+\.org", text)]
+    clean = privacy.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean.count("[EMAIL]") == 5_000 and "@" not in clean
+    assert [(m.start, m.end) for m in row[1].found.ip] == [(10_008, 10_015)]
 
 
 def test_sanitised_text(spark):
-    rows = [(0, "call +49 151 23456789, 4111 1111 1111 1111 or a@b.c"), (1, "nothing"), (2, "1.2.3.4")]
+    rows = [(0, "call +49 151 23456789, 4111 1111 1111 1111 or a@b.c"), (1, "nothing"), (2, "1.2.3.4"), (3, "call"), (4, "call"), (5, "call")]
     got = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == "nothing" and got[2] == "[IP]" and got[0].startswith("call [PHONE]") and got[0].endswith("or [EMAIL]")
 
