@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +25,56 @@ def fold(id_column: str, modulus: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that every executor sees, from ``spark.checkpoint.dir``; it has to be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    if path:
+        return path
+    if spark.conf.get("spark.master", "").startswith("local") and not spark.conf.get("spark.master").startswith("local-cluster"):
+        return f"file://{_own_folder()}"  # driver and executors are one process
+    raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Lineage ends at the files, so a lost executor costs at most the tasks it was running.
+    Lineage ends at the files, so a lost executor costs at most the tasks it was running. The files of a session are
+    in one folder, which ``remove_stored`` and the end of the driver's Python delete.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _run_folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(remove_stored, spark)
+    return path
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete all tables that this session has stored; what was computed from them can't be computed again."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    for path in list(_FOLDERS):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        _FOLDERS.discard(path)
+
+
+_FOLDERS: set[str] = set()
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The rows of a string column as UTF-8; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -311,7 +311,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     return mine.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, with all their columns."""
-    gone = near_duplicates(docs, id_column=id_column, **options).where("not kept").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(gone, id_column, "left_anti").select(docs.columns)
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One row of each group, with all its columns.
+
+    Of the rows of a kept id, one stays for each text they have (the least by its columns as JSON); so does one for
+    each text among the rows without an id, unless a document with an id has the same text. Rows of one id with
+    different texts are one document, and all of that document stays.
+    """
+    gone = stored(near_duplicates(docs, id_column=id_column, text_column=text_column, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    id_, digest = F.col(f"r.`{id_column}`"), F.sha2(F.coalesce(F.col(f"r.`{text_column}`").cast("string"), F.lit("")), 256)
+    keyed = docs.select(F.struct("*").alias("r")).select("r", id_.cast("long").alias("id"), digest.alias("h"))
+    narrow = stored(keyed.select("id", "h").join(gone, F.col("id") == F.col("gone"), "left_anti"), "kept-keys")
+    twice = stored(narrow.groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(F.count("*").alias("n")).where("n > 1").select("id2", "h2"), "repeated-rows")
+    nameless = narrow.where("id is null").select(F.col("h").alias("h3")).distinct()
+    known = stored(nameless.join(narrow.where("id is not null").select("h"), F.col("h") == F.col("h3"), "left_semi"), "known-texts")
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
+    rows = keyed.join(gone, F.col("id") == F.col("gone"), "left_anti").join(known, F.col("id").isNull() & (F.col("h") == F.col("h3")), "left_anti")
+    # only rows that repeat are brought together
+    several = rows.join(twice, same, "left_semi").groupBy("id", "h").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r")
+    return rows.join(twice, same, "left_anti").select("r").unionByName(several).select(*(F.col(f"r.`{c}`") for c in docs.columns))

@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences and only the bag has a label. A sentence's logit is the bias and the weights, none
-negative, of the words and word beginnings (so inflected forms share what is learnt) it holds. Only evidence counts: with 1 - p = (1 + e^EVIDENCE) / (1 + e^logit), p is 0 up to the
+negative, of the words and word beginnings (so inflected forms share what is learnt) it holds. A beginning that one word
+alone has counts for that word only, so that "moron" doesn't speak against "more". Only evidence counts: with 1 - p = (1 + e^EVIDENCE) / (1 + e^logit), p is 0 up to the
 logit ``EVIDENCE``, so a document's probability, the noisy-or 1 - prod(1 - p) of its sentences, doesn't depend on the
 number of neutral ones. The log-likelihood is maximised over the weights (with a probability for toxic documents
 without evidence, which scoring leaves out), so the blame settles on the sentences that set toxic documents apart, and
@@ -159,7 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([toxic[w] for w in words], pa.int64())], ["word", "n", "n_toxic"])
 
     n_docs, n_toxic = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    words = texts.mapInArrow(counted, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t")).where("n >= 4")
+    every = stored(texts.mapInArrow(counted, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t")), "toxicity-words")
+    words = every.where("n >= 4")
     cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     n, t = F.col("n").cast("double"), F.col("t").cast("double")
     share = n_toxic / max(n_docs, 1)
@@ -178,7 +180,20 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str
     parts = texts.mapInArrow(numbered, "label binary, sentences binary, sizes binary, words binary").collect() if chosen else []
     joined = [np.frombuffer(b"".join(bytes(p[i]) for p in parts), kind) for i, kind in enumerate(("u1", "<u4", "<u4", "<u4"))]
     weights, bias = fit_bags(Bags(joined[0].astype(float), *(x.astype(np.int64) for x in joined[1:])), len(chosen))
-    return Model({w: float(x) for w, x in zip(chosen, weights) if abs(x) > 1e-3}, bias)
+    learnt = {w: float(x) for w, x in zip(chosen, weights)}
+    for beginning, word in _lone(every, [w for w in chosen if w.endswith("-")]):
+        learnt[word] = learnt.get(word, 0.0) + learnt.pop(beginning)
+    return Model({w: x for w, x in learnt.items() if abs(x) > 1e-3}, bias)
+
+
+def _lone(every: DataFrame, beginnings: list[str]) -> list[tuple[str, str]]:
+    """(beginning, word) of those that a single word has; what is learnt of them is that word's alone."""
+    if not beginnings:
+        return []
+    wanted = F.broadcast(every.sparkSession.createDataFrame([(b,) for b in beginnings], "beginning string"))  # at most most_words
+    cuts = F.transform(F.sequence(F.lit(BEGINNINGS.start), F.least(F.length("word") - 1, F.lit(BEGINNINGS.stop - 1))), lambda k: F.concat(F.substring("word", 1, k), F.lit("-")))
+    whole = every.where(~F.col("word").endswith("-") & (F.length("word") > BEGINNINGS.start)).select("word", F.explode(cuts).alias("beginning")).join(wanted, "beginning")
+    return [tuple(r) for r in whole.groupBy("beginning").agg(F.count("*").alias("n"), F.min("word").alias("word")).where("n = 1").select("beginning", "word").collect()]
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", offending: float = 0.5) -> DataFrame:

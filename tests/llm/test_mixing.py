@@ -58,3 +58,16 @@ def test_defined_cases(spark):
     assert sorted(r.position // mixing.BLOCK for r in mixing.mix(same).collect()) == [0, 0, 1]
     with pytest.raises(KeyError):
         mixing.mix(same, {"a": 1.0})
+
+
+def test_many_sources_of_few_blocks():
+    blocks = {f"s{i}": 1 + i % 3 for i in range(300)}
+    spans, slots = mixing.phases(blocks, mixing.parts(mixing.tempered(blocks)))
+    assert len(slots) <= sum(blocks.values()) == sum(n for _, _, _, n, *_ in spans)
+
+
+def test_map_columns_and_equal_ids(spark):
+    rows = [(1, "a", {"k": i}) for i in range(5)] + [(2, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, row map<string,int>")
+    first, again = (sorted((r.position, str(r.row)) for r in mixing.mix(x).collect()) for x in (df, df.orderBy("row.k").repartition(3)))
+    assert first == again and len({p for p, _ in first}) == 6

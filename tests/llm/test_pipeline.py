@@ -78,8 +78,26 @@ def test_run(spark, corpus):
         docs = stored(stage(spark, docs, path), "again")
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {r.doc_id: library.encode(r.text or "", add_bos=True, add_eos=True) for r in docs.collect()}
-    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, path).collect()}
-    assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the mix lies in several files
+    try:
+        result = corpus_pipeline.run(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in result} == want
+    assert sorted(r.position for r in result) == list(range(len(result)))
+    mixed = sorted(mixing.mix(docs).collect(), key=lambda r: r.position)
+    assert [r.doc_id for r in sorted(result, key=lambda r: r.position)] == [r.row.doc_id for r in mixed]
+
+
+def test_one_row_of_each(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, text), (3, "a b"), (3, "a b"), (3, "c d"), (None, text), (None, "lone"), (None, "lone"), (None, None), (5, ""), (6, None), (6, None)]
+    docs = spark.createDataFrame([(*r, {"k": i}) for i, r in enumerate(rows)], "doc_id long, text string, h map<string,int>")
+    kept = neardup.one_of_each(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, text), (3, "a b"), (3, "c d"), (None, "lone"), (5, ""), (6, None)], key=str)
+    assert neardup.one_of_each(docs).columns == docs.columns
 
 
 def test_empty_tables(spark, tmp_path):
