@@ -2,7 +2,8 @@
 sources to their target weights, and encode.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
-columns of ``documents``; the mix decides the order of rows, the last stage returns one row of ids for each document.
+columns of ``documents``; the mix decides the order of rows in the files it is written to, and the last stage returns
+one row of ids for each document with its ``position`` in the mix.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    placed = mixing.numbered(docs).select(F.struct("doc_id", "position").alias("key"), "text")
+    encoded = pieces.encode(placed, public_tokenizers.path("piece_bpe_32k.model"), id_column="key")
     return encoded.select(
-        "doc_id",
+        "key.doc_id",
+        "key.position",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
         F.sha2("ids", 256).alias("ids_sha256"),
