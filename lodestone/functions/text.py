@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructType
 
 # The typographic punctuation that is folded, semesters, degrees, and words of two department families.
 PUNCTUATION = {"（": "(", "）": ")", "［": "[", "］": "]", "【": "[", "】": "]", "，": ",", "：": ":", "；": ";", "／": "/", "－": "-", "–": "-", "—": "-"}
@@ -125,6 +125,48 @@ def content_id(prefix: str, *fields: Column, size: int = 20) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("∅")) for f in fields)), 256), 1, size))
 
 
+def canonical_json(value: Column, kind: DataType) -> Column:
+    """Text of a value as JSON with sorted keys, a space after commas and colons, and other scripts as they are."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    if isinstance(kind, ArrayType):
+        inner = F.transform(value, lambda x: canonical_json(x, kind.elementType))
+        found = F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]"))
+    elif isinstance(kind, StructType):
+        parts = [F.concat(F.lit(f'"{f.name}": '), canonical_json(value[f.name], f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+        found = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, StringType):
+        found = quoted(value)
+    else:
+        found = value.cast("string")
+    return F.when(value.isNull(), "null").otherwise(found)
+
+
+def as_text(value: Column, kind: DataType) -> Column:
+    """Null is empty, arrays and structs are canonical JSON, other values their text."""
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.when(value.isNull(), "").otherwise(canonical_json(value, kind))
+    if isinstance(kind, BooleanType):
+        return F.when(value, "True").when(~value, "False").otherwise("")
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def json_id(prefix: str, record: Column, kind: StructType, size: int = 20) -> Column:
+    """The content address of a record: the first digits of the SHA-256 of its canonical JSON."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(canonical_json(record, kind), 256), 1, size))
+
+
+def retrieval_key(value: Column) -> Column:
+    """``norm_key`` after exact NFKC; false and 0 as text are kept, null is empty."""
+    return norm_key(nfkc(F.coalesce(value.cast("string"), F.lit(""))))
+
+
+def identity_key(value: Column, kind: DataType | None = None) -> Column:
+    """``retrieval_key`` in which a number 0 and a false flag are empty, as an absent value is."""
+    if kind is not None and not isinstance(kind, StringType):
+        value = F.when(value.cast("boolean"), value)
+    return retrieval_key(value)
+
+
 def nonempty(value: Column, kind: str = "string") -> Column:
     if kind.startswith(("array", "map")):
         return F.coalesce(F.size(value) > 0, F.lit(False))

@@ -30,6 +30,9 @@ def review_queue(df: DataFrame, pending: Column) -> DataFrame:
     return df.where(pending).withColumns({"reviewer_decision": F.lit(None).cast("string"), "review_status": F.lit("unreviewed")})
 
 
+# The names of stages and classes.
+
+
 def error_stage(in_catalogue: Column, in_gate: Column, in_top: Column) -> Column:
     return F.when(~in_catalogue, "no_exact").when(~in_gate, "excluded_by_gate").when(~in_top, "reranked_out").otherwise("survives")
 
@@ -77,3 +80,47 @@ def union_pool(*pools: DataFrame) -> DataFrame:
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.groupBy("query_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("pools"))
+
+
+def lanes_manifest(df: DataFrame, lanes: Mapping[str, Column]) -> DataFrame:
+    """One row: the number of records, and of those in each lane (lanes may overlap)."""
+    return df.agg(F.count("*").alias("records"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in lanes.items()))
+
+
+def exclusions(df: DataFrame, id_column: str, rules: Mapping[str, Column]) -> DataFrame:
+    """excluded_id, reason, scope: a row for each rule that keeps a record out."""
+    found = df.select(F.col(id_column).alias("excluded_id"), F.explode(reasons(rules)).alias("reason"))
+    return found.withColumn("scope", F.lit("excluded"))
+
+
+def replacement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row of overlap counts between two sets of records (title, hash; null hashes match nothing) and the decision.
+
+    The decision is a constant: overlap never lets one set replace the other.
+    """
+    shared = lambda c, n: left.select(c).where(F.col(c).isNotNull()).intersect(right.select(c)).agg(F.count("*").alias(n))
+    held = lambda a, b, n: a.join(b.select("title").distinct(), "title", "left_semi").agg(F.count("*").alias(n))
+    one = shared("title", "shared_titles").crossJoin(shared("hash", "shared_hashes"))  # one row each
+    one = one.crossJoin(held(left, right, "left_records")).crossJoin(held(right, left, "right_records"))
+    return one.withColumn("decision", F.lit("do_not_replace"))
+
+
+def in_global_order(df: DataFrame, *by: str, name: str) -> DataFrame:
+    """The rows in one order over all partitions, with their number from 1 in column ``name``.
+
+    A range partition and a sort in each give the order; numbers follow from the partitions' sizes, so no task gets all rows.
+    """
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = sizes.select(F.col("_part"), "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    numbered = placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1)
+    return numbered.select(*df.columns, name)
+
+
+def scope(checks: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """check_name, passed: one aggregate over a dataset for each check."""
+    out = None
+    for name, (df, condition) in checks.items():
+        one = df.agg(condition.alias("passed")).select(F.lit(name).alias("check_name"), F.coalesce("passed", F.lit(True)).alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -62,5 +62,5 @@ def rerank_score(weights: Mapping[str, float]):
     return F.round(total, 12)
 
 
-#: Weight vectors over (hybrid, lexical maximum, dense maximum, coverage).
+#: Weight vectors over (hybrid, lexical maximum, dense maximum, coverage).
 WEIGHTS = {"current": (0.20, 0.25, 0.25, 0.30), "identity_removed": (0.0, 0.30, 0.30, 0.40), "coverage_heavy": (0.10, 0.20, 0.20, 0.50), "lexical_heavy": (0.15, 0.40, 0.30, 0.15), "dense_heavy": (0.15, 0.20, 0.45, 0.20)}

@@ -6,6 +6,8 @@ follows matching postings. Common grams of long queries are counted per query be
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def postings(df: DataFrame, id_column: str, text: Column, low: int, high: int |
     return keyed.select("id", F.explode(T.grams(F.col("key"), low, high, whole_if_short)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
+def field_postings(df: DataFrame, id_column: str, fields: Mapping[str, Column], low: int, high: int | None = None, whole_if_short: bool = True) -> DataFrame:
+    """field, id, gram, tf of several text fields in one pass over the records."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), T.norm_key(c).alias("key")) for n, c in fields.items()))).alias("f")
+    keyed = df.repartition(F.col(id_column)).select(F.col(id_column).alias("id"), each)
+    cut = keyed.select("f.field", "id", F.explode(T.grams(F.col("f.key"), low, high, whole_if_short)).alias("gram"))
+    return cut.groupBy("field", "id", "gram").agg(F.count("*").alias("tf"))
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("gram").agg(F.count("*").alias("df"))
 
@@ -41,27 +51,33 @@ def _small(df: DataFrame, most: int = BROADCAST_POSTINGS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def tfidf_weights(posted: DataFrame, n: int) -> DataFrame:
-    """id, gram, idf, w: raw tf times smoothed idf, each id's vector of length 1."""
-    idf = document_frequency(posted).select("gram", (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    return _unit(posted.join(idf, "gram"))
+def tfidf_weights(posted: DataFrame, n: int | DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., id, gram, idf, w: raw tf times smoothed idf, each id's vector of length 1.
 
+    ``by`` names key columns of ``posted`` that keep several models apart (the fields of a record, say); all are made in
+    one pass. ``n`` is the number of documents of every model.
+    """
+    df = posted.groupBy(*by, "gram").agg(F.count("*").alias("df"))
+    idf = df.select(*by, "gram", (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    raw = posted.join(idf, [*by, "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*by, "id")))
+    return raw.select(*by, "id", "gram", "idf", (F.col("raw") / norm).alias("w"))
 
-def _unit(weighted: DataFrame) -> DataFrame:
-    raw = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    return raw.select("id", "gram", "idf", (F.col("raw") / norm).alias("w"))
 
+def tfidf_pairs(queries: DataFrame, catalogue: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., query_id, item_id, score from query postings and the catalogue's weights; pairs without a common gram are absent.
 
-def tfidf_pairs(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """query_id, item_id, score from query postings and the catalogue's weights; pairs without a common gram are absent."""
-    idf = catalogue.select("gram", "idf").distinct()
-    known = queries.join(_small(idf), "gram")
-    weighted = known.withColumn("raw", F.col("tf") * F.col("idf"))
-    items = catalogue.select("gram", F.col("id").alias("item_id"), "w")
-    joined = weighted.join(_small(items), "gram").groupBy("id", "item_id").agg(F.sum(F.col("raw") * F.col("w")).alias("dot"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return joined.join(norms, "id").select(F.col("id").alias("query_id"), "item_id", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    Query grams are cut and joined once: each catalogue gram has one more entry, without an item, under which a query's
+    squared length adds up beside its products.
+    """
+    entries = catalogue.select(*by, "gram", F.col("id").alias("item_id"), "idf", "w")
+    own = catalogue.groupBy(*by, "gram").agg(F.first("idf").alias("idf")).select(*by, "gram", F.lit(None).cast(entries.schema["item_id"].dataType).alias("item_id"), "idf", F.lit(None).cast("double").alias("w"))
+    raw = F.col("tf") * F.col("idf")
+    joined = queries.join(_small(entries.unionByName(own)), [*by, "gram"])
+    summed = joined.groupBy(*by, "id", "item_id").agg(F.sum(raw * F.coalesce("w", raw)).alias("dot"))
+    norm = F.sqrt(F.max(F.when(F.col("item_id").isNull(), F.col("dot"))).over(Window.partitionBy(*by, "id")))
+    scored = summed.select(*by, F.col("id").alias("query_id"), "item_id", F.round(F.col("dot") / norm, 9).alias("score"))
+    return scored.where(F.col("item_id").isNotNull())
 
 
 def bm25_weights(posted: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -82,6 +98,12 @@ def weighted_pairs(queries: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("id").alias("query_id"), "item_id").agg(F.round(F.sum(F.col("tf") * F.col("w")), 9).alias("score"))
 
 
+def weight_products(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id, score: inner products of unit vectors (id, gram, w) that share a gram."""
+    a, b = left.select(F.col("id").alias("left_id"), "gram", F.col("w").alias("x")), right.select(F.col("id").alias("right_id"), "gram", F.col("w").alias("y"))
+    return a.join(b, "gram").groupBy("left_id", "right_id").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("score"))
+
+
 def most_used(posted: DataFrame, most: int) -> DataFrame:
     """The ``most`` grams with the highest use over the corpus, ties to the smaller gram: gram, tf, feature_rank."""
     total = posted.groupBy("gram").agg(F.sum("tf").alias("tf"))
@@ -93,12 +115,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_pairs(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str = "vector", most: int = 100_000) -> DataFrame:
-    """query_id, item_id, score of a stated, size-checked query set against all items."""
-    if queries.count() > most:
-        raise ValueError(f"a query set of more than {most} vectors")
-    q = F.broadcast(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("q")))
-    return items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v")).join(q).select("query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
+def dense_pairs(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str = "vector", block: int = 512) -> DataFrame:
+    """query_id, item_id, score of a stated query set, of any size, against all items.
+
+    Queries are packed into blocks of about ``block`` vectors; an item's row meets whole blocks by an equi-join, and its
+    scores are made where it is. Ranking or aggregating them starts in the same task, before anything is shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    packed = F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("q")))
+    held = queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("b")).agg(packed.alias("queries"))
+    each = items.select(F.col(item_id).alias("item_id"), F.col(vector).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    met = each.join(F.broadcast(held) if blocks <= 16 else held, "b")
+    scored = F.explode(F.transform("queries", lambda q: F.struct(q["id"].alias("query_id"), F.round(dot(q["q"], F.col("v")), 9).alias("score")))).alias("p")
+    return met.select("item_id", scored).select("p.query_id", "item_id", "p.score")
+
+
+def dense_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str = "vector") -> DataFrame:
+    """query_id, item_id, score of given pairs (query_id, item_id); a side without a vector scores 0."""
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("q"))
+    v = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v"))
+    found = pairs.select("query_id", "item_id").join(q, "query_id", "left").join(v, "item_id", "left")
+    return found.select("query_id", "item_id", F.round(F.coalesce(dot(F.col("q"), F.col("v")), F.lit(0.0)), 9).alias("score"))
 
 
 def mean_vector(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -81,10 +81,15 @@ def label_counts(df: DataFrame, labels: str, name: str = "label") -> DataFrame:
     return df.select(F.explode(labels).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
+def presence_sums(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row: how many records hold each field."""
+    return df.agg(*(F.count_if(F.coalesce(present(F.col(f)), F.lit(False))).alias(f) for f in fields))
+
+
 def json_types(df: DataFrame, column: str) -> DataFrame:
-    """key, type of every top-level key of JSON objects held as text."""
-    keys = df.select(F.col(column).alias("json"), F.explode(F.json_object_keys(column)).alias("field"))
-    rows = keys.select("field", F.expr("get_json_object(json, concat('$.', field))").alias("value"))
+    """key, type of every top-level key of JSON objects held as text; keys may hold any character."""
+    fields = F.from_json(F.col(column), "map<string,string>")
+    rows = df.select(F.explode(fields).alias("field", "value"))
     typed = (
         F.when(F.col("value").isNull(), "null").when(F.col("value").rlike("^-?[0-9]+$"), "int").when(F.col("value").rlike("^-?[0-9]*\\.?[0-9]+([eE][+-]?[0-9]+)?$"), "float")
         .when(F.col("value").isin("true", "false"), "bool").when(F.col("value").startswith("["), "list").when(F.col("value").startswith("{"), "dict").otherwise("str")

@@ -1,6 +1,6 @@
 """Every registered query of the library and its oracle."""
 
-from . import relational, retrieval, texts
+from . import records, relational, retrieval, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "retrieval", "texts"]
+__all__ = ["ORACLES", "QUERIES", "records", "relational", "retrieval", "texts"]
