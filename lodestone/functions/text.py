@@ -44,7 +44,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+    return F.regexp_replace(text, rf"^{SPACE}|(?<![\s\p{{Z}}]){SPACE}$", "")
 
 
 def collapse(text: Column) -> Column:

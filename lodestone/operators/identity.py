@@ -65,6 +65,24 @@ def overlap_decisions(staged: DataFrame, primary: DataFrame, keys: Mapping[str,
     return out.select(id_column, F.array_join(match, ",").alias("match_keys"), F.array_join(dup, ",").alias("duplicate_keys"), decision.alias("decision"))
 
 
+def containing(texts: DataFrame, items: DataFrame, width: int = 12) -> DataFrame:
+    """query_id, item_id where the whole text (query_id, key) holds the whole item (item_id, key); empty items are in none.
+
+    An item is looked up by its first ``width`` characters, or all it has, among the equally long grams of every text, and
+    what that finds is compared whole: an equi-join, whose rows follow the texts and not texts times items.
+    """
+    held = items.where("key != ''").select("item_id", F.col("key").alias("item_key"), F.substring("key", 1, width).alias("anchor"))
+    sizes = sorted(r[0] for r in held.select(F.length("anchor")).distinct().collect())  # at most ``width`` numbers
+    if not sizes:
+        return texts.select("query_id").join(held.select("item_id"), F.lit(False))
+    texts = texts.repartition("query_id")  # dealt once for both uses
+    grams = F.array_distinct(F.concat(*(T.grams(F.col("key"), n, whole_if_short=False) for n in sizes)))
+    anchors = held.select("anchor").distinct()
+    found = texts.select("query_id", F.explode(grams).alias("anchor")).join(F.broadcast(anchors) if anchors.count() <= 1_000_000 else anchors, "anchor", "left_semi")
+    pairs = found.join(held.select("anchor", "item_id", "item_key"), "anchor").select("query_id", "item_id", "item_key")
+    return pairs.join(texts.select("query_id", "key"), "query_id").where(F.col("key").contains(F.col("item_key"))).select("query_id", "item_id").distinct()
+
+
 @F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / (len a + len b) with M from recursive longest matching blocks; not symmetric; 1.0 for two empty titles."""
@@ -74,14 +92,25 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_titles(left: DataFrame, right: DataFrame, k: int = 5) -> DataFrame:
     """left_key, right_key, similarity, rank over distinct normalised titles that share a character.
 
-    Similarity is positive only with a common character, so pairs come from an equi-join on characters.
+    Twice the common characters over both lengths is no less than the similarity; only pairs whose bound can reach a
+    title's k best are scored in Python.
     """
     a = left.select("left_key", F.explode(F.array_distinct(F.split("left_key", ""))).alias("c"))
     b = right.select("right_key", F.explode(F.array_distinct(F.split("right_key", ""))).alias("c"))
-    pairs = a.join(b, "c").select("left_key", "right_key").distinct()
-    scored = pairs.withColumn("similarity", F.round(title_similarity("left_key", "right_key"), 8)).where("similarity > 0")
-    rank = F.row_number().over(Window.partitionBy("left_key").orderBy(F.desc("similarity"), "right_key"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    # pairs with their bound: the common characters are counted in the join, with how often each side has them
+    often = lambda k: F.length(k) - F.length(F.replace(F.col(k), F.col("c"), F.lit("")))
+    both = a.withColumn("n", often("left_key")).join(b.withColumn("m", often("right_key")), "c")
+    bound = 2.0 * F.sum(F.least("n", "m")) / (F.length("left_key") + F.length("right_key"))
+    bounded = both.groupBy("left_key", "right_key").agg(bound.alias("bound"))
+    rank_ = lambda by: F.row_number().over(Window.partitionBy("left_key").orderBy(*by))
+    ordered = bounded.withColumn("place", rank_([F.desc("bound"), "right_key"]))
+    score = F.round(title_similarity("left_key", "right_key"), 8)
+    # a first group by bound is scored; its k-th best is a floor that the bound of any other pair has to reach
+    first = ordered.where(F.col("place") <= 4 * k).withColumn("similarity", score)
+    floor = first.withColumn("r", rank_([F.desc("similarity"), "right_key"])).where(F.col("r") == k).select("left_key", F.col("similarity").alias("floor"))
+    rest = ordered.where(F.col("place") > 4 * k).join(floor, "left_key").where(F.round("bound", 8) >= F.col("floor")).withColumn("similarity", score)
+    scored = first.select("left_key", "right_key", "similarity").unionByName(rest.select("left_key", "right_key", "similarity")).where("similarity > 0")
+    return scored.withColumn("rank", rank_([F.desc("similarity"), "right_key"]).cast("long")).where(F.col("rank") <= k)
 
 
 def exact_matches(queries: DataFrame, catalogue: DataFrame, k: int = 10) -> DataFrame:

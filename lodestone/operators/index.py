@@ -17,15 +17,18 @@ from lodestone.functions import text as T
 BROADCAST_POSTINGS = 2_000_000
 
 
-def postings(df: DataFrame, id_column: str, text: Column, low: int, high: int | None = None, whole_if_short: bool = True, normalise: bool = True) -> DataFrame:
-    """id, gram, tf.
+def postings(df: DataFrame, id_column: str, text: Column, low: int, high: int | None = None, whole_if_short: bool = True, normalise: bool = True, single: bool = False) -> DataFrame:
+    """id, gram, tf; with ``single``, a text of one character is a gram too.
 
     Texts are dealt by id before they are cut up, so counting grams, and all that is later counted by id, needs no
     exchange of the many gram rows.
     """
     key = T.norm_key(text) if normalise else F.lower(F.regexp_replace(text, r"\s\s+", " "))
     keyed = df.select(F.col(id_column).alias("id"), key.alias("key")).repartition("id")
-    return keyed.select("id", F.explode(T.grams(F.col("key"), low, high, whole_if_short)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    cut = T.grams(F.col("key"), low, high, whole_if_short)
+    if single:
+        cut = F.when(F.length("key") == 1, F.array("key")).otherwise(cut)
+    return keyed.select("id", F.explode(cut).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
 def field_postings(df: DataFrame, id_column: str, fields: Mapping[str, Column], low: int, high: int | None = None, whole_if_short: bool = True) -> DataFrame:
@@ -98,6 +101,21 @@ def weighted_pairs(queries: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("id").alias("query_id"), "item_id").agg(F.round(F.sum(F.col("tf") * F.col("w")), 9).alias("score"))
 
 
+def lexical_pairs(queries: DataFrame, tfidf: DataFrame, bm25: DataFrame) -> DataFrame:
+    """query_id, item_id, tfidf, bm25 of both catalogues in one pass over the queries' grams; null where a method has none."""
+    t = tfidf.select("gram", F.col("id").alias("item_id"), "idf", "w")
+    b = bm25.select("gram", F.col("id").alias("item_id"), F.col("w").alias("b"))
+    entries = t.join(b, ["gram", "item_id"], "full")
+    kind = entries.schema["item_id"].dataType
+    own = tfidf.groupBy("gram").agg(F.first("idf").alias("idf")).select("gram", F.lit(None).cast(kind).alias("item_id"), "idf", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("b"))
+    raw = F.col("tf") * F.col("idf")
+    joined = queries.join(_small(entries.unionByName(own)), "gram")
+    summed = joined.groupBy("id", "item_id").agg(F.sum(F.when(F.col("item_id").isNull(), raw * raw).otherwise(raw * F.col("w"))).alias("dot"), F.sum(F.col("tf") * F.col("b")).alias("b"))
+    norm = F.sqrt(F.max(F.when(F.col("item_id").isNull(), F.col("dot"))).over(Window.partitionBy("id")))
+    scored = summed.select(F.col("id").alias("query_id"), "item_id", F.round(F.col("dot") / norm, 9).alias("tfidf"), F.round("b", 9).alias("bm25"))
+    return scored.where(F.col("item_id").isNotNull())
+
+
 def weight_products(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, score: inner products of unit vectors (id, gram, w) that share a gram."""
     a, b = left.select(F.col("id").alias("left_id"), "gram", F.col("w").alias("x")), right.select(F.col("id").alias("right_id"), "gram", F.col("w").alias("y"))

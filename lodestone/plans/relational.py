@@ -114,16 +114,16 @@ def duplicate_name_groups(spark, d):
     return identity.group_index(table(spark, d, "part"), T.norm_key(F.col("p_name")), "p_partkey").where(F.size("ids") > 1).select("key", F.array_join("ids", ",").alias("ids"))
 
 
-@query(f"""with m as (select doc_id, quality, sha256(text) as h, source || '|' || left({S.key('text')}, 40) as c from {MARKED}),
+@query(f"""with m as (select doc_id, quality, sha256(text) as h, source || '|' || md5({S.key('text')}) as c from {MARKED}),
   s as (select * from m where quality is distinct from 1), p as (select * from m where quality = 1),
   f as (select doc_id, h in (select h from p) as in_h, c in (select c from p) as in_c, count(*) over (partition by h) > 1 as dup_h, count(*) over (partition by c) > 1 as dup_c from s)
-  select doc_id, array_to_string(list_filter([case when in_h then 'content_hash' end, case when in_c then 'source_opening' end], lambda x: x is not null), ',') as match_keys,
-  array_to_string(list_filter([case when dup_h then 'content_hash' end, case when dup_c then 'source_opening' end], lambda x: x is not null), ',') as duplicate_keys,
+  select doc_id, array_to_string(list_filter([case when in_h then 'content_hash' end, case when in_c then 'source_key' end], lambda x: x is not null), ',') as match_keys,
+  array_to_string(list_filter([case when dup_h then 'content_hash' end, case when dup_c then 'source_key' end], lambda x: x is not null), ',') as duplicate_keys,
   case when in_h or in_c then 'overlap_primary_review_required' when dup_h or dup_c then 'duplicate_within_staged_review_required' else 'unique_against_primary_and_staged_keys' end as decision from f""")
 def overlap_dedupe_decision(spark, d):
-    keyed = marked(spark, d).select("doc_id", "quality", F.sha2("text", 256).alias("h"), F.concat_ws("|", "source", F.substring(T.norm_key(F.col("text")), 1, 40)).alias("c"))
+    keyed = marked(spark, d).select("doc_id", "quality", F.sha2("text", 256).alias("h"), F.concat_ws("|", "source", F.md5(T.norm_key(F.col("text")))).alias("c"))
     first = F.coalesce(F.col("quality") == 1, F.lit(False))
-    return identity.overlap_decisions(keyed.where(~first), keyed.where(first), {"content_hash": "h", "source_opening": "c"}, "doc_id")
+    return identity.overlap_decisions(keyed.where(~first), keyed.where(first), {"content_hash": "h", "source_key": "c"}, "doc_id")
 
 
 @query("select source, count(*) as documents, count(*) filter (toxic is not null) as labelled, sum(n_chars)::bigint as chars, grouping(source)::bigint as overall from " + MARKED + " group by rollup (source)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -45,15 +45,35 @@ def tfidf_pairs(spark: SparkSession, d: str) -> DataFrame:
     return index.tfidf_pairs(queries, index.tfidf_weights(items, table(spark, d, "benchmark").count()).persist())
 
 
+def lexical(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, item_id, tfidf, bm25 from one pass over the documents' grams."""
+    of = lambda low, high, whole: index.postings(table(spark, d, "benchmark"), "item_id", F.col("text"), low, high, whole).persist()
+    queries = index.postings(table(spark, d, "documents"), "doc_id", F.col("text"), 2, 4, False, single=True)
+    n = table(spark, d, "benchmark").count()
+    return index.lexical_pairs(queries, index.tfidf_weights(of(2, 4, False), n).persist(), index.bm25_weights(of(2, None, True), n))
+
+
+def lexical_ranks(spark, d):
+    """method, query_id, item_id, rank of both methods' ten best."""
+    best = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(c), "item_id"))
+    kept = lexical(spark, d).withColumns({"t": best("tfidf"), "b": best("bm25")}).where((F.col("t") <= K) | (F.col("b") <= K)).persist()
+    of = lambda n: rank.top_k(_filled(spark, d, kept.where(F.col(n).isNotNull()).select("query_id", "item_id", F.col(n).alias("score"))), K).select(F.lit(n).alias("method"), "query_id", "item_id", "rank")
+    return of("bm25").unionByName(of("tfidf"))
+
+
 def _filled(spark, d, pairs):
     return rank.fill_zero(pairs, table(spark, d, "documents").select(F.col("doc_id").alias("query_id")), table(spark, d, "benchmark"), K)
 
 
+def held(spark, d):
+    """query_id, item_id: the document holds the whole item."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), T.norm_key(F.col("text")).alias("key"))
+    return identity.containing(docs, table(spark, d, "benchmark").select("item_id", T.norm_key(F.col("text")).alias("key")))
+
+
 def _hits(spark, d, ranked):
     """Adds hit: the document holds the whole item."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), T.norm_key(F.col("text")).alias("dk"))
-    items = table(spark, d, "benchmark").select("item_id", T.norm_key(F.col("text")).alias("ik"))
-    return ranked.join(items, "item_id").join(docs, "query_id").withColumn("hit", F.col("dk").contains(F.col("ik"))).drop("dk", "ik")
+    return ranked.join(held(spark, d).withColumn("h", F.lit(True)), ["query_id", "item_id"], "left").withColumn("hit", F.coalesce("h", F.lit(False))).drop("h")
 
 
 @query(f"select k as gram, df from (select gram as k, count(*) as df from {Q2} group by gram)")
@@ -106,23 +126,26 @@ METHODS = f"""(select 'bm25' as method, query_id, item_id, rank from {BM25_TOP}
 
 @query(f"with r as (select m.*, {HIT} as hit from {METHODS} m join {KEYS} using (query_id) join {ITEM_KEYS} using (item_id)), p as (select method, query_id, max(case when rank = 1 and hit then 1 else 0 end) as one, max(case when hit then 1 else 0 end) as ten from r group by all) select method, (select count(*) from documents) as queries, count(*) as nonempty_top10, sum(one)::bigint as top1_hits, sum(ten)::bigint as top10_hits from p group by method")
 def method_metrics(spark, d):
-    of = lambda n, pairs: rank.top_k(_filled(spark, d, pairs), K).select(F.lit(n).alias("method"), "query_id", "item_id", "rank")
-    ranked = of("bm25", bm25_pairs(spark, d)).unionByName(of("tfidf", tfidf_pairs(spark, d)))
-    return rank.method_metrics(_hits(spark, d, ranked), table(spark, d, "documents").select(F.col("doc_id").alias("query_id")))
+    return rank.method_metrics(_hits(spark, d, lexical_ranks(spark, d)), table(spark, d, "documents").select(F.col("doc_id").alias("query_id")))
 
 
-OPENING = f"(select a.doc_id as query_id, b.item_id, 1.0::double as score from documents a join benchmark b on left({S.key('a.text')}, 8) = left({S.key('b.text')}, 8))"
+HELD = f"(select query_id, item_id, 1.0::double as score from {KEYS}, {ITEM_KEYS} where {HIT})"
 SCALE = lambda c: f"case when max({c}) over (partition by query_id) > 0 then {c} / max({c}) over (partition by query_id) else 0 end"
-PARTS = f"(select query_id, item_id, coalesce(max(score) filter (component = 'identity'), 0) as identity, coalesce(max(score) filter (component = 'tfidf'), 0) as tfidf, coalesce(max(score) filter (component = 'bm25'), 0) as bm25 from (select 'identity' as component, * from {OPENING} union all select 'tfidf', * from {TFIDF} union all select 'bm25', * from {BM25}) group by all)"
+PARTS = f"(select query_id, item_id, coalesce(max(score) filter (component = 'identity'), 0) as identity, coalesce(max(score) filter (component = 'tfidf'), 0) as tfidf, coalesce(max(score) filter (component = 'bm25'), 0) as bm25 from (select 'identity' as component, * from {HELD} union all select 'tfidf', * from {TFIDF} union all select 'bm25', * from {BM25}) group by all)"
 SCALED = f"(select query_id, item_id, identity, {SCALE('tfidf')} as tfidf, {SCALE('bm25')} as bm25 from {PARTS})"
 HYBRID = f"(select *, round(0.2::double * identity + 0.5::double * tfidf + 0.3::double * bm25, 9) as score from {SCALED})"
 WEIGHTS = {"identity": 0.2, "tfidf": 0.5, "bm25": 0.3}
 
 
 def scaled_components(spark, d):
-    opening = lambda n, i: table(spark, d, n).select(F.col(i), F.substring(T.norm_key(F.col("text")), 1, 8).alias("k"))
-    same = opening("documents", "doc_id").join(opening("benchmark", "item_id"), "k").select(F.col("doc_id").alias("query_id"), "item_id", F.lit(1.0).alias("score"))
-    parts = rank.components(identity=same, tfidf=tfidf_pairs(spark, d), bm25=bm25_pairs(spark, d))
+    inside = held(spark, d).withColumn("identity", F.lit(1.0)).persist()
+    small = F.broadcast(inside) if inside.count() <= index.BROADCAST_POSTINGS else inside
+    both = lexical(spark, d).join(small, ["query_id", "item_id"], "left")
+    # a text that holds an item of two characters or more shares a gram with it; shorter items come in by themselves
+    short = table(spark, d, "benchmark").where(F.length(T.norm_key(F.col("text"))) == 1).select("item_id")
+    alone = inside.join(short, "item_id").join(lexical(spark, d).select("query_id", "item_id"), ["query_id", "item_id"], "left_anti") if not short.isEmpty() else None
+    parts = both if alone is None else both.unionByName(alone, allowMissingColumns=True)
+    parts = parts.select("query_id", "item_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("identity", "tfidf", "bm25")))
     return parts.select("query_id", "item_id", "identity", rank.scaled("tfidf").alias("tfidf"), rank.scaled("bm25").alias("bm25"))
 
 
@@ -147,14 +170,12 @@ def hybrid_ablation(spark, d):
 
 
 STATUS = "case when identity = 1 and not dup and score >= 0.55 then 'exact' when identity = 1 or lead < 0.05 or score >= 0.35 then 'ambiguous' else 'weak' end"
-DUPLICATE = f"(select item_id, count(*) over (partition by left({S.key('text')}, 8)) > 1 as dup from benchmark)"
+DUPLICATE = f"(select item_id, count(*) over (partition by {S.key('text')}) > 1 as dup from benchmark)"
 
 
 @query(f"with r as (select * from {S.ranked(HYBRID, K)}), m as (select *, round(score - coalesce(lead(score) over (partition by query_id order by rank), 0), 9) as lead from r) select query_id, item_id, rank, {STATUS} as status, round(lead, 9) as margin from m join {DUPLICATE} using (item_id)")
 def candidate_status(spark, d):
-    from pyspark.sql import Window
-
-    dup = table(spark, d, "benchmark").select("item_id", (F.count("*").over(Window.partitionBy(F.substring(T.norm_key(F.col("text")), 1, 8))) > 1).alias("dup"))
+    dup = table(spark, d, "benchmark").select("item_id", (F.count("*").over(Window.partitionBy(T.norm_key(F.col("text")))) > 1).alias("dup"))
     r = rank.top_k(hybrid(spark, d), K).withColumn("lead", F.round(rank.margin("last_zero"), 9)).join(dup, "item_id")
     return r.select("query_id", "item_id", "rank", rank.status(F.col("identity") == 1, F.col("dup"), F.col("score"), F.col("lead")).alias("status"), F.round("lead", 9).alias("margin"))
 
@@ -220,13 +241,10 @@ STAGES = f"with g as (select query_id, item_id from {GATED}), o as (select * fro
 
 @query(STAGES)
 def error_stage(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), T.norm_key(F.col("text")).alias("dk"))
-    items = table(spark, d, "benchmark").select("item_id", T.norm_key(F.col("text")).alias("ik"))
-    # the catalogue is the stated query set; it is looked for in every text
-    held = docs.join(F.broadcast(items) if items.count() <= 100_000 else items, F.col("dk").contains(F.col("ik"))).select("query_id", "item_id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"))
     pool = gated(spark, d).persist()
     top = rank.top_k(pool, OUT).select("query_id", "item_id", "rank")
-    flagged = held.join(pool.select("query_id", "item_id", F.lit(True).alias("g")), ["query_id", "item_id"], "left").join(top, ["query_id", "item_id"], "left")
+    flagged = held(spark, d).join(pool.select("query_id", "item_id", F.lit(True).alias("g")), ["query_id", "item_id"], "left").join(top, ["query_id", "item_id"], "left")
     per = flagged.groupBy("query_id").agg(F.bool_or(F.coalesce("g", F.lit(False))).alias("in_gate"), F.bool_or(F.col("rank").isNotNull()).alias("in_top"), F.coalesce(F.bool_or(F.col("rank") == 1), F.lit(False)).alias("at_top"))
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
     joined = docs.select("query_id").join(per.withColumn("in_catalogue", F.lit(True)), "query_id", "left")
@@ -254,8 +272,7 @@ def blocker_counts(spark, d):
 
 @query(f"select query_id, item_id, rank, score from {S.ranked(f'(select query_id, item_id, round(sum(1.0::double / (60 + rank)), 9) as score from {METHODS} group by all)', K)}")
 def planned_rrf(spark, d):
-    of = lambda pairs: rank.top_k(_filled(spark, d, pairs), K).select("query_id", "item_id", "rank")
-    fused = rank.reciprocal_rank_fusion(of(bm25_pairs(spark, d)).unionByName(of(tfidf_pairs(spark, d))))
+    fused = rank.reciprocal_rank_fusion(lexical_ranks(spark, d))
     return rank.top_k(fused, K)
 
 
@@ -264,9 +281,10 @@ POOLS = f"(select 'original' as pool, query_id, item_id, score from (select * fr
 
 @query(f"with r as (select p.*, {HIT} as hit, row_number() over (partition by pool, query_id order by score desc, item_id) as rank from {POOLS} p join {KEYS} using (query_id) join {ITEM_KEYS} using (item_id)), q as (select query_id, max(case when pool = 'original' and hit then 1 else 0 end) as o, max(case when pool = 'expanded' and hit then 1 else 0 end) as e, count(*) filter (pool = 'original') as n_original, count(*) filter (pool = 'expanded') as n_expanded from r group by query_id) select sum(o)::bigint as original_hits, sum(e)::bigint as expanded_hits, sum(case when e = 1 and o = 0 then 1 else 0 end)::bigint as recovered, sum(n_original)::bigint as original_pairs, sum(n_expanded)::bigint as expanded_pairs from q")
 def pool_comparison(spark, d):
-    tfidf, bm25 = tfidf_pairs(spark, d).persist(), bm25_pairs(spark, d)
-    first = rank.top_k(tfidf, 3).select("query_id", "item_id", "score")
-    more = tfidf.join(rank.top_k(bm25, 3).select("query_id", "item_id"), ["query_id", "item_id"])
+    both = lexical(spark, d).persist()
+    scores = lambda n: both.where(F.col(n).isNotNull()).select("query_id", "item_id", F.col(n).alias("score"))
+    first = rank.top_k(scores("tfidf"), 3).select("query_id", "item_id", "score")
+    more = scores("tfidf").join(rank.top_k(scores("bm25"), 3).select("query_id", "item_id"), ["query_id", "item_id"])
     pools = first.withColumn("pool", F.lit("original")).unionByName(first.unionByName(more.select("query_id", "item_id", "score")).distinct().withColumn("pool", F.lit("expanded")))
     hits = _hits(spark, d, pools)
     hit_in = lambda p: F.max(F.when((F.col("pool") == p) & F.col("hit"), 1).otherwise(0))
@@ -364,8 +382,6 @@ def weight_ablation(spark, d):
 
 @query(f"select config, query_id, item_id, score from (select *, row_number() over (partition by config, query_id order by hard desc, score desc, item_id) as rank from (select c.config, query_id, item_id, case when c.config = 'hard_exact' then identity else 0 end as hard, round(score + c.boost * identity, 9) as score from {HYBRID}, (values ('current', 0.0::double), ('boost_020', 0.2::double), ('boost_050', 0.5::double), ('hard_exact', 0.0::double)) c(config, boost))) where rank = 1")
 def title_boost_variants(spark, d):
-    from pyspark.sql import Window
-
     boosts = {"current": 0.0, "boost_020": 0.2, "boost_050": 0.5, "hard_exact": 0.0}
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("config"), F.lit(b).alias("boost")) for n, b in boosts.items()))).alias("c")
     scored = hybrid(spark, d).select("*", each).select("c.config", "query_id", "item_id", F.when(F.col("c.config") == "hard_exact", F.col("identity")).otherwise(0.0).alias("hard"), F.round(F.col("score") + F.col("c.boost") * F.col("identity"), 9).alias("score"))

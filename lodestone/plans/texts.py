@@ -119,10 +119,10 @@ def normalised_records(spark, d):
     return views.normalised_records(table(spark, d, "part"), ["p_partkey"], {"p_name": T.display, "p_brand": T.code})
 
 
-@query("select doc_id, md5(concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(lang, ''), nullif(left(text, 80), ''))) as document_md5 from documents")
+@query("select doc_id, md5(concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(lang, ''), nullif(text, ''))) as document_md5 from documents")
 def weighted_document_text(spark, d):
-    docs = table(spark, d, "documents").withColumn("opening", F.substring("text", 1, 80))
-    return docs.select("doc_id", F.md5(views.weighted_document({"source": 1, "lang": 2, "opening": 1})).alias("document_md5"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(views.weighted_document({"source": 1, "lang": 2, "text": 1})).alias("document_md5"))
 
 
 @query("select doc_id, source, 'label_missing' as abstention_reason, 'abstained' as retrieval_status, 'blocked' as promotion_status from documents where doc_id not in (select doc_id from labels)")
