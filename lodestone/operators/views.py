@@ -28,7 +28,7 @@ def document_text(subject: Column, core: Column, outline: Column, remarks: Colum
     return joined(" ", subject, F.array_join(core, " "), F.array_join(F.transform(outline, lambda x: x["text"]), " "), remarks)
 
 
-def curated_views(blob: Column, fallback_outline: Column, labels: Mapping[str, tuple[tuple[str, ...], tuple[str, ...]]], clean: Callable[[Column], Column] = T.strip) -> dict[str, Column]:
+def curated_views(blob: Column, fallback_outline: Column, labels: Mapping[str, tuple[tuple[str, ...], tuple[str, ...]]], clean: Callable[[Column], Column] = lambda section: section) -> dict[str, Column]:
     """Labelled sections of one text. ``labels``: outline, objectives, schedule with their start and stop labels; an
     outline that isn't found falls back to its own field, nothing else is filled."""
     found = {n: clean(T.extract_section(blob, starts, stops)) for n, (starts, stops) in labels.items()}
