@@ -22,6 +22,7 @@ from .common import pieces as cut
 from .common import utf8
 
 MARK = "▁"
+MOST_BYTES = 2_000_000  # of text at a time, as ids, spans and decoded text take several times that
 CACHE_WORDS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
 
     def run(batches):
         model = piece_model(model_path)
-        for batch in cut(batches):
+        for batch in cut(batches, MOST_BYTES):
             packed, spans, texts = [], [], []
             for text in utf8(batch.column(1)):
                 ids, span = model.encode(text)
