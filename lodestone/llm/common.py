@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -88,10 +89,23 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``most_bytes`` of data (one row at least)."""
+    """Cut record batches so that each holds about ``most_bytes`` of data (one row at least).
+
+    After the last one, what the task has freed goes back to the system: Python workers outlive their task, and
+    several of them wait beside those at work when an executor goes from one stage to the next.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that Arrow's pool and the C library hold free to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -18,8 +18,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import give_back, utf8
 from .common import pieces as cut
-from .common import utf8
 
 MARK = "▁"
 MOST_BYTES = 2_000_000  # of text at a time, as ids, spans and decoded text take several times that
@@ -224,6 +224,8 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
             if decoded:
                 columns, names = [*columns, pa.array(texts, pa.string())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        model.words.clear()  # the worker may wait for long with them
+        give_back()
 
     schema = f"`{id_column}` {kind}, ids binary, spans binary" + ", decoded string" * decoded
     return docs.select(id_column, text_column).mapInArrow(run, schema)
