@@ -3,7 +3,8 @@
 On a bounded sample the neighbour graph is cut into balanced parts (recursive spectral bisection at the median, then
 swaps that lower the cut). A small classifier learns, for a vector, how its neighbours spread over the parts. Every
 vector is stored in its most probable part; a query visits as many of its most probable parts as a calibration on
-held-out vectors needs for ``TARGET`` recall, and all vectors found there are ranked by their exact cosine.
+held-out vectors needs for ``TARGET`` recall, and more where these hold fewer than k other ids; all vectors found there
+are ranked by their exact cosine.
 
 Parts are handled in blocks of rows and of queries, so no task holds a whole part, however large or hot.
 
@@ -184,6 +185,19 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     return out
 
 
+def _enough(index: DataFrame, n_parts: int, visit: int, k: int) -> Column:
+    """The first ``visit`` parts of a query's ranking, and more until they hold ``k`` ids besides its own.
+
+    An id counts in one part only, so rows repeated in several parts are not taken for more ids.
+    """
+    held = index.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    ids = {r["part"]: r["n"] for r in held.collect()}  # at most MOST_PARTS rows
+    sizes = F.array(*(F.lit(ids.get(i, 0)).cast("long") for i in range(n_parts)))
+    start = F.struct(F.lit(0).cast("long").alias("ids"), F.lit(0).alias("parts"))
+    more = lambda have, part: F.when(have["ids"] > k, have).otherwise(F.struct((have["ids"] + sizes[part]).alias("ids"), (have["parts"] + 1).alias("parts")))
+    return F.slice("visits", F.lit(1), F.greatest(F.lit(visit), F.aggregate("visits", start, more)["parts"]))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", sample: int = SAMPLE, target: float = TARGET, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every row that ``is_query`` marks."""
     rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(
@@ -207,11 +221,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
             x = _matrix(batch.column(1))
             ranked = router.ranked(x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True))
             asks = batch.column(2).to_pylist()
-            parts = [ranked[i, :visit].tolist() if a else [] for i, a in enumerate(asks)]
+            parts = [ranked[i].tolist() if a else [] for i, a in enumerate(asks)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranked[:, 0].astype(np.int32)), pa.array(parts, pa.list_(pa.int32()))], ["vec_id", "v", "part", "visits"])
 
     index = stored(rows.mapInArrow(placed, "vec_id long, v array<double>, part int, visits array<int>"), "ann-index")
-    queries = index.where(F.size("visits") > 0).select("vec_id", "v", F.explode("visits").alias("part"))
+    queries = index.where(F.size("visits") > 0).select("vec_id", "v", F.explode(_enough(index, router.n_parts, visit, k)).alias("part"))
     row_blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
     query_blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asked"))
     grid = F.broadcast(stored(row_blocks.join(query_blocks, "part"), "ann-grid"))  # at most MOST_PARTS rows

@@ -51,6 +51,16 @@ def test_blocks_and_ties(spark, monkeypatch):
     assert all(r.score == 1.0 for r in got)
 
 
+def test_parts_with_few_rows_are_not_the_end(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_A_PART", 50)
+    x = np.random.default_rng(3).standard_normal((400, 8)).astype(np.float32)
+    df = frame(spark, np.arange(400), x)
+    found = ann.search(df.unionByName(df), F.col("vec_id") % 50 == 0, k=120, probes=1).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {q: 120 for q in range(0, 400, 50)}
+    everything = ann.search(df, F.col("vec_id") % 50 == 0, k=1000, probes=1).groupBy("query_id").count().collect()
+    assert {r["count"] for r in everything} == {399}
+
+
 def test_defined_cases(spark):
     good = [1.0, 2.0]
     rows = [(0, good), (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (8, [2.0, 1.0]), (8, [2.0, 1.0]), (None, good), (50, [-1.0, -2.0]), (9, [1e300, 2e300])]
