@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import audit, coverage, identity, index, rank
+from lodestone.operators import audit, coverage, identity, index, rank, scores
 from lodestone.sources.io import table
 
 from . import sql as S
@@ -30,50 +30,23 @@ KEYS = f"(select doc_id as query_id, {S.key('text')} as dk from documents)"
 ITEM_KEYS = f"(select item_id, {S.key('text')} as ik from benchmark)"
 
 
-def _postings(spark, d, low, high=None, whole=True):
-    of = lambda n, i: index.postings(table(spark, d, n), i, F.col("text"), low, high, whole)
-    return of("documents", "doc_id"), of("benchmark", "item_id").persist()
+def best_pairs(spark: SparkSession, d: str, orders, text: Column | None = None, **how) -> DataFrame:
+    """query_id, item_id, tfidf, bm25, identity of each document's best pairs by the given orders."""
+    text = F.col("text") if text is None else text
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text").repartition("query_id")  # even tasks, however few files there are
+    items = table(spark, d, "benchmark").select("item_id", T.norm_key(text).alias("key"))
+    return scores.best_pairs(docs.select("query_id", T.norm_key(text).alias("key")), items, orders, **how)
 
 
-def bm25_pairs(spark: SparkSession, d: str) -> DataFrame:
-    queries, items = _postings(spark, d, 2)
-    return index.weighted_pairs(queries, index.bm25_weights(items, table(spark, d, "benchmark").count()))
+def _place(column: str) -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(column), "item_id")).cast("long")
 
 
-def tfidf_pairs(spark: SparkSession, d: str) -> DataFrame:
-    queries, items = _postings(spark, d, 2, 4, False)
-    return index.tfidf_pairs(queries, index.tfidf_weights(items, table(spark, d, "benchmark").count()).persist())
-
-
-def lexical(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, item_id, tfidf, bm25 from one pass over the documents' grams."""
-    of = lambda low, high, whole: index.postings(table(spark, d, "benchmark"), "item_id", F.col("text"), low, high, whole).persist()
-    queries = index.postings(table(spark, d, "documents"), "doc_id", F.col("text"), 2, 4, False, single=True)
-    n = table(spark, d, "benchmark").count()
-    return index.lexical_pairs(queries, index.tfidf_weights(of(2, 4, False), n).persist(), index.bm25_weights(of(2, None, True), n))
-
-
-def lexical_ranks(spark, d):
-    """method, query_id, item_id, rank of both methods' ten best."""
-    best = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(c), "item_id"))
-    kept = lexical(spark, d).withColumns({"t": best("tfidf"), "b": best("bm25")}).where((F.col("t") <= K) | (F.col("b") <= K)).persist()
-    of = lambda n: rank.top_k(_filled(spark, d, kept.where(F.col(n).isNotNull()).select("query_id", "item_id", F.col(n).alias("score"))), K).select(F.lit(n).alias("method"), "query_id", "item_id", "rank")
-    return of("bm25").unionByName(of("tfidf"))
-
-
-def _filled(spark, d, pairs):
-    return rank.fill_zero(pairs, table(spark, d, "documents").select(F.col("doc_id").alias("query_id")), table(spark, d, "benchmark"), K)
-
-
-def held(spark, d):
-    """query_id, item_id: the document holds the whole item."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), T.norm_key(F.col("text")).alias("key"))
-    return identity.containing(docs, table(spark, d, "benchmark").select("item_id", T.norm_key(F.col("text")).alias("key")))
-
-
-def _hits(spark, d, ranked):
-    """Adds hit: the document holds the whole item."""
-    return ranked.join(held(spark, d).withColumn("h", F.lit(True)), ["query_id", "item_id"], "left").withColumn("hit", F.coalesce("h", F.lit(False))).drop("h")
+def lexical_ranks(spark, d, **how):
+    """method, query_id, item_id, rank, hit of both methods' ten best; hit, with ``holds``: the document holds the whole item."""
+    best = best_pairs(spark, d, [(scores.by_tfidf, K), (scores.by_bm25, K)], fill=True, **how).withColumns({n: _place(n) for n in ("tfidf", "bm25")})
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("method"), F.col(n).alias("rank")) for n in ("bm25", "tfidf")))).alias("m")
+    return best.select("query_id", "item_id", (F.col("identity") == 1).alias("hit"), each).select("m.method", "query_id", "item_id", "m.rank", "hit").where(F.col("rank") <= K)
 
 
 @query(f"select k as gram, df from (select gram as k, count(*) as df from {Q2} group by gram)")
@@ -89,12 +62,14 @@ def corpus_stats(spark, d):
 
 @query(f"select query_id, item_id, rank, score from {BM25_TOP}")
 def bm25_top10(spark, d):
-    return rank.top_k(_filled(spark, d, bm25_pairs(spark, d)), K)
+    best = best_pairs(spark, d, [(scores.by_bm25, K)], methods=["bm25"], fill=True)
+    return rank.top_k(best.select("query_id", "item_id", F.col("bm25").alias("score")), K)
 
 
 @query(f"select query_id, item_id, rank, score from {TFIDF_TOP}")
 def tfidf_top10(spark, d):
-    return rank.top_k(_filled(spark, d, tfidf_pairs(spark, d)), K)
+    best = best_pairs(spark, d, [(scores.by_tfidf, K)], methods=["tfidf"], fill=True)
+    return rank.top_k(best.select("query_id", "item_id", F.col("tfidf").alias("score")), K)
 
 
 HEAD, TAIL = r"regexp_extract(text, '^[^.!?。！？]*')", r"regexp_replace(text, '^[^.!?。！？]*', '')"
@@ -103,15 +78,14 @@ HEAD, TAIL = r"regexp_extract(text, '^[^.!?。！？]*')", r"regexp_replace(text
 @query(" union all ".join(f"select '{n}' as field, query_id, item_id, rank, score from {S.ranked(S.tfidf(S.postings('documents', 'doc_id', e, 2, 4, whole=False), S.postings('benchmark', 'item_id', e, 2, 4, whole=False), ITEMS), 3)}" for n, e in (("opening", HEAD), ("rest", TAIL))))
 def tfidf_field_scores(spark, d):
     out = None
-    n = table(spark, d, "benchmark").count()
     for name, text in (("opening", F.regexp_extract("text", "^[^.!?。！？]*", 0)), ("rest", F.regexp_replace("text", "^[^.!?。！？]*", ""))):
-        of = lambda t, i, x=text: index.postings(table(spark, d, t), i, x, 2, 4, False)
-        pairs = index.tfidf_pairs(of("documents", "doc_id"), index.tfidf_weights(of("benchmark", "item_id"), n).persist())
+        pairs = best_pairs(spark, d, [(scores.by_tfidf, 3)], text, methods=["tfidf"]).select("query_id", "item_id", F.col("tfidf").alias("score"))
         part = rank.top_k(pairs, 3).select(F.lit(name).alias("field"), "query_id", "item_id", "rank", F.col("score"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+
 FEATURES = S.postings("(select item_id as id, text from benchmark union all select 1000000 + conv_id * 1000 + turn, text from conversations)", "id", "text", 2, 5, whole=False, normalise=False)
 
 
@@ -126,7 +100,7 @@ METHODS = f"""(select 'bm25' as method, query_id, item_id, rank from {BM25_TOP}
 
 @query(f"with r as (select m.*, {HIT} as hit from {METHODS} m join {KEYS} using (query_id) join {ITEM_KEYS} using (item_id)), p as (select method, query_id, max(case when rank = 1 and hit then 1 else 0 end) as one, max(case when hit then 1 else 0 end) as ten from r group by all) select method, (select count(*) from documents) as queries, count(*) as nonempty_top10, sum(one)::bigint as top1_hits, sum(ten)::bigint as top10_hits from p group by method")
 def method_metrics(spark, d):
-    return rank.method_metrics(_hits(spark, d, lexical_ranks(spark, d)), table(spark, d, "documents").select(F.col("doc_id").alias("query_id")))
+    return rank.method_metrics(lexical_ranks(spark, d, holds=True), table(spark, d, "documents").select(F.col("doc_id").alias("query_id")))
 
 
 HELD = f"(select query_id, item_id, 1.0::double as score from {KEYS}, {ITEM_KEYS} where {HIT})"
@@ -137,20 +111,18 @@ HYBRID = f"(select *, round(0.2::double * identity + 0.5::double * tfidf + 0.3::
 WEIGHTS = {"identity": 0.2, "tfidf": 0.5, "bm25": 0.3}
 
 
-def scaled_components(spark, d):
-    inside = held(spark, d).withColumn("identity", F.lit(1.0)).persist()
-    small = F.broadcast(inside) if inside.count() <= index.BROADCAST_POSTINGS else inside
-    both = lexical(spark, d).join(small, ["query_id", "item_id"], "left")
-    # a text that holds an item of two characters or more shares a gram with it; shorter items come in by themselves
-    short = table(spark, d, "benchmark").where(F.length(T.norm_key(F.col("text"))) == 1).select("item_id")
-    alone = inside.join(short, "item_id").join(lexical(spark, d).select("query_id", "item_id"), ["query_id", "item_id"], "left_anti") if not short.isEmpty() else None
-    parts = both if alone is None else both.unionByName(alone, allowMissingColumns=True)
-    parts = parts.select("query_id", "item_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("identity", "tfidf", "bm25")))
+def scaled_components(spark, d, orders):
+    """query_id, item_id, identity, tfidf, bm25, scaled by a query's largest, of its best pairs by the given orders."""
+    best = best_pairs(spark, d, [*orders, (scores.by_tfidf, 1), (scores.by_bm25, 1)], holds=True)  # each query's largest score is among them
+    parts = best.select("query_id", "item_id", "identity", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("tfidf", "bm25")))
     return parts.select("query_id", "item_id", "identity", rank.scaled("tfidf").alias("tfidf"), rank.scaled("bm25").alias("bm25"))
 
 
-def hybrid(spark, d):
-    return scaled_components(spark, d).withColumn("score", rank.weighted(WEIGHTS))
+BY_HYBRID = scores.by_weights(WEIGHTS)
+
+
+def hybrid(spark, d, orders=((BY_HYBRID, K),)):
+    return scaled_components(spark, d, orders).withColumn("score", rank.weighted(WEIGHTS))
 
 
 @query(f"select query_id, item_id, rank, round(identity, 9) as identity, round(tfidf, 9) as tfidf, round(bm25, 9) as bm25, score from {S.ranked(HYBRID, K)}")
@@ -163,7 +135,8 @@ ABLATION = {"identity": "identity", "tfidf": "tfidf", "bm25": "bm25", "both": "r
 
 @query(f"select method, query_id, item_id, round(score, 9) as top1_score from (select *, row_number() over (partition by method, query_id order by score desc, item_id) as rank from ({' union all '.join(f'select {chr(39)}{n}{chr(39)} as method, query_id, item_id, {e} as score from h' for n, e in ABLATION.items())})) where rank = 1".replace("from (select *, row", f"from (with h as (select * from {HYBRID}) select *, row", 1))
 def hybrid_ablation(spark, d):
-    h = hybrid(spark, d)
+    kept = (scores.by_weights({"identity": 1.0}), scores.by_weights({"tfidf": 1.0}), scores.by_weights({"bm25": 1.0}), scores.by_weights({"tfidf": 0.6, "bm25": 0.4}), BY_HYBRID)
+    h = hybrid(spark, d, [(f, 1) for f in kept])
     methods = {"identity": F.col("identity"), "tfidf": F.col("tfidf"), "bm25": F.col("bm25"), "both": F.round(0.6 * F.col("tfidf") + 0.4 * F.col("bm25"), 9), "hybrid": F.col("score")}
     long = rank.methods_long(h.select("query_id", "item_id", "identity", "tfidf", "bm25", F.col("score").alias("hybrid")), {**methods, "hybrid": F.col("hybrid")})
     return rank.top_k(long.select("method", "query_id", "item_id", "score"), 1, by=("method", "query_id")).select("method", "query_id", "item_id", F.round("score", 9).alias("top1_score"))
@@ -220,13 +193,24 @@ GATED = f"(select t.query_id, t.item_id, t.score as lexical, coalesce(list_dot_p
 GATED_HYBRID = f"(select *, round(0.5::double * {SCALE('lexical')} + 0.5::double * dense, 9) as score from {GATED})"
 
 
-def gated(spark, d):
+def gate(spark, d, **how):
+    """query_id, item_id, lexical, dense, score of each query's GATE best, besides (with ``holds``) the items that it holds
+    whole, which have identity 1 and no lexical score if they are outside."""
     vectors = table(spark, d, "embeddings")
     of = lambda n: vectors.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v_{n}"))
-    gate = rank.top_k(tfidf_pairs(spark, d), GATE).select("query_id", "item_id", F.col("score").alias("lexical"))
-    both = gate.join(of("query_id"), "query_id", "left").join(of("item_id"), "item_id", "left")
+    best = best_pairs(spark, d, [(scores.by_tfidf, GATE)], methods=["tfidf"], **how).withColumn("place", _place("tfidf"))
+    best = best.withColumn("lexical", F.when(F.col("place") <= GATE, F.col("tfidf"))).where("lexical is not null or identity = 1")
+    catalogue = table(spark, d, "benchmark").select("item_id").distinct()
+    few = catalogue.count() <= 20_000
+    items = of("item_id").join(F.broadcast(catalogue) if few else catalogue, "item_id", "left_semi")
+    both = best.select("query_id", "item_id", "lexical", "identity").join(of("query_id"), "query_id", "left").join(F.broadcast(items) if few else items, "item_id", "left")
     dense = F.coalesce(index.dot(F.col("v_query_id"), F.col("v_item_id")), F.lit(0.0))
-    return both.select("query_id", "item_id", "lexical", dense.alias("dense"), rank.scaled("lexical").alias("s")).withColumn("score", F.round(0.5 * F.col("s") + 0.5 * F.col("dense"), 9)).drop("s")
+    both = both.select("query_id", "item_id", "identity", "lexical", dense.alias("dense"))
+    return both.withColumn("s", rank.scaled("lexical")).withColumn("score", F.when(F.col("lexical").isNotNull(), F.round(0.5 * F.col("s") + 0.5 * F.col("dense"), 9))).drop("s")
+
+
+def gated(spark, d):
+    return gate(spark, d).where(F.col("lexical").isNotNull()).drop("identity")
 
 
 @query(f"select query_id, item_id, rank, lexical, round(dense, 9) as dense, score from {S.ranked(GATED_HYBRID, OUT)}")
@@ -242,10 +226,9 @@ STAGES = f"with g as (select query_id, item_id from {GATED}), o as (select * fro
 @query(STAGES)
 def error_stage(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"))
-    pool = gated(spark, d).persist()
-    top = rank.top_k(pool, OUT).select("query_id", "item_id", "rank")
-    flagged = held(spark, d).join(pool.select("query_id", "item_id", F.lit(True).alias("g")), ["query_id", "item_id"], "left").join(top, ["query_id", "item_id"], "left")
-    per = flagged.groupBy("query_id").agg(F.bool_or(F.coalesce("g", F.lit(False))).alias("in_gate"), F.bool_or(F.col("rank").isNotNull()).alias("in_top"), F.coalesce(F.bool_or(F.col("rank") == 1), F.lit(False)).alias("at_top"))
+    pool = gate(spark, d, holds=True).withColumn("place", _place("score"))
+    in_gate = F.col("lexical").isNotNull()
+    per = pool.where("identity = 1").groupBy("query_id").agg(F.bool_or(in_gate).alias("in_gate"), F.bool_or(in_gate & (F.col("place") <= OUT)).alias("in_top"), F.bool_or(in_gate & (F.col("place") == 1)).alias("at_top"))
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
     joined = docs.select("query_id").join(per.withColumn("in_catalogue", F.lit(True)), "query_id", "left")
     return joined.select("query_id", audit.error_stage(off("in_catalogue"), off("in_gate"), off("in_top")).alias("stage"), audit.failure_category(off("at_top"), off("in_top")).alias("category"))
@@ -272,7 +255,7 @@ def blocker_counts(spark, d):
 
 @query(f"select query_id, item_id, rank, score from {S.ranked(f'(select query_id, item_id, round(sum(1.0::double / (60 + rank)), 9) as score from {METHODS} group by all)', K)}")
 def planned_rrf(spark, d):
-    fused = rank.reciprocal_rank_fusion(lexical_ranks(spark, d))
+    fused = rank.reciprocal_rank_fusion(lexical_ranks(spark, d).drop("hit"))
     return rank.top_k(fused, K)
 
 
@@ -281,14 +264,11 @@ POOLS = f"(select 'original' as pool, query_id, item_id, score from (select * fr
 
 @query(f"with r as (select p.*, {HIT} as hit, row_number() over (partition by pool, query_id order by score desc, item_id) as rank from {POOLS} p join {KEYS} using (query_id) join {ITEM_KEYS} using (item_id)), q as (select query_id, max(case when pool = 'original' and hit then 1 else 0 end) as o, max(case when pool = 'expanded' and hit then 1 else 0 end) as e, count(*) filter (pool = 'original') as n_original, count(*) filter (pool = 'expanded') as n_expanded from r group by query_id) select sum(o)::bigint as original_hits, sum(e)::bigint as expanded_hits, sum(case when e = 1 and o = 0 then 1 else 0 end)::bigint as recovered, sum(n_original)::bigint as original_pairs, sum(n_expanded)::bigint as expanded_pairs from q")
 def pool_comparison(spark, d):
-    both = lexical(spark, d).persist()
-    scores = lambda n: both.where(F.col(n).isNotNull()).select("query_id", "item_id", F.col(n).alias("score"))
-    first = rank.top_k(scores("tfidf"), 3).select("query_id", "item_id", "score")
-    more = scores("tfidf").join(rank.top_k(scores("bm25"), 3).select("query_id", "item_id"), ["query_id", "item_id"])
-    pools = first.withColumn("pool", F.lit("original")).unionByName(first.unionByName(more.select("query_id", "item_id", "score")).distinct().withColumn("pool", F.lit("expanded")))
-    hits = _hits(spark, d, pools)
-    hit_in = lambda p: F.max(F.when((F.col("pool") == p) & F.col("hit"), 1).otherwise(0))
-    per = hits.groupBy("query_id").agg(hit_in("original").alias("o"), hit_in("expanded").alias("e"), F.count_if(F.col("pool") == "original").alias("n_original"), F.count_if(F.col("pool") == "expanded").alias("n_expanded"))
+    best = best_pairs(spark, d, [(scores.by_tfidf, 3), (scores.by_bm25, 3)], holds=True).withColumns({"t": _place("tfidf"), "b": _place("bm25")}).where("tfidf is not null")
+    first = F.col("t") <= 3
+    pools = best.select("query_id", (F.col("identity") == 1).alias("hit"), first.alias("original"), (first | (F.col("b") <= 3) & F.col("bm25").isNotNull()).alias("expanded"))
+    hit_in = lambda p: F.max((F.col(p) & F.col("hit")).cast("int"))
+    per = pools.groupBy("query_id").agg(hit_in("original").alias("o"), hit_in("expanded").alias("e"), F.count_if("original").alias("n_original"), F.count_if("expanded").alias("n_expanded"))
     return per.agg(F.sum("o").alias("original_hits"), F.sum("e").alias("expanded_hits"), F.sum(F.when((F.col("e") == 1) & (F.col("o") == 0), 1).otherwise(0)).cast("long").alias("recovered"), F.sum("n_original").alias("original_pairs"), F.sum("n_expanded").alias("expanded_pairs"))
 
 
@@ -384,6 +364,7 @@ def weight_ablation(spark, d):
 def title_boost_variants(spark, d):
     boosts = {"current": 0.0, "boost_020": 0.2, "boost_050": 0.5, "hard_exact": 0.0}
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("config"), F.lit(b).alias("boost")) for n, b in boosts.items()))).alias("c")
-    scored = hybrid(spark, d).select("*", each).select("c.config", "query_id", "item_id", F.when(F.col("c.config") == "hard_exact", F.col("identity")).otherwise(0.0).alias("hard"), F.round(F.col("score") + F.col("c.boost") * F.col("identity"), 9).alias("score"))
+    kept = [scores.by_weights(WEIGHTS, x) for x in (*boosts.values(), 10.0)]  # no score outweighs 10 for the exact title
+    scored = hybrid(spark, d, [(f, 1) for f in kept]).select("*", each).select("c.config", "query_id", "item_id", F.when(F.col("c.config") == "hard_exact", F.col("identity")).otherwise(0.0).alias("hard"), F.round(F.col("score") + F.col("c.boost") * F.col("identity"), 9).alias("score"))
     first = F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc("hard"), F.desc("score"), "item_id"))
     return scored.withColumn("rank", first).where("rank = 1").select("config", "query_id", "item_id", F.col("score"))
