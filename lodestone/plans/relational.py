@@ -33,7 +33,8 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
 def exact_title_match(spark, d):
     part = table(spark, d, "part")
     catalogue = part.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("item_id")).select("item_id", T.norm_key(F.col("p_name")).alias("key"))
-    return identity.exact_matches(part.select(F.col("p_partkey").alias("query_id"), T.norm_key(F.col("p_name")).alias("key")), catalogue)
+    queries = part.select(F.col("p_partkey").alias("query_id"), "p_name").repartition("query_id")  # even tasks, however few files there are
+    return identity.exact_matches(queries.select("query_id", T.norm_key(F.col("p_name")).alias("key")), catalogue)
 
 
 @query(f"select doc_id, md5({S.strip('text')}) as raw_text, md5({S.display('text')}) as display, md5({S.canonical('text')}) as canonical, md5(upper(regexp_replace({S.display('text')}, '{S.SPACE}', '', 'g'))) as code, md5({S.key('text')}) as norm_key, md5({S.collapse('text')}) as collapsed, md5({S.topic('text')}) as topic from documents")
