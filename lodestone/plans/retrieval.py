@@ -51,13 +51,13 @@ def lexical_ranks(spark, d, **how):
 
 @query(f"select k as gram, df from (select gram as k, count(*) as df from {Q2} group by gram)")
 def char_bigram_df(spark, d):
-    return index.document_frequency(index.postings(table(spark, d, "documents"), "doc_id", F.col("text"), 2))
+    return index.gram_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"), 2, once=True).withColumnRenamed("n", "df")
 
 
 @query(f"with p as (select * from {Q2}) select (select count(*) from documents) as n, round(sum(tf)::double / (select count(*) from documents), 9) as mean_length, count(distinct gram) as grams from p")
 def corpus_stats(spark, d):
     docs = table(spark, d, "documents")
-    return index.corpus_stats(docs, index.postings(docs, "doc_id", F.col("text"), 2)).withColumn("mean_length", F.round("mean_length", 9))
+    return index.corpus_stats(docs, index.gram_counts(docs.select("doc_id", "text"), "doc_id", F.col("text"), 2)).withColumn("mean_length", F.round("mean_length", 9))
 
 
 @query(f"select query_id, item_id, rank, score from {BM25_TOP}")
@@ -92,7 +92,7 @@ FEATURES = S.postings("(select item_id as id, text from benchmark union all sele
 @query(f"select gram, sum(tf)::bigint as tf, row_number() over (order by sum(tf) desc, gram) as feature_rank from {FEATURES} group by gram order by tf desc, gram limit 100000")
 def tfidf_max_features(spark, d):
     both = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text").unionByName(table(spark, d, "conversations").select((F.lit(1000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
-    return index.most_used(index.postings(both, "id", F.col("text"), 2, 5, False, normalise=False), 100_000)
+    return index.most_used(index.gram_counts(both, "id", F.col("text"), 2, 5, False, normalise=False).withColumnRenamed("n", "tf"), 100_000)
 
 
 METHODS = f"""(select 'bm25' as method, query_id, item_id, rank from {BM25_TOP} union all select 'tfidf', query_id, item_id, rank from {TFIDF_TOP})"""
